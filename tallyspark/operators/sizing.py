@@ -1,0 +1,31 @@
+"""Size-checked broadcasts.
+
+A side is broadcast only after its row count has been *measured* (one small
+action) and found under a limit; above the limit the plain DataFrame is
+returned and Spark plans a shuffle join (with AQE's skew-join splitting).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default row bound for broadcasting a dimension-like side (CPI periods,
+# neighbour lists).  Rows here are narrow: 1M rows is a few tens of MB.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      n_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Return ``(broadcast(df) or df, row count)``.  Pass ``n_rows`` when the
+    count is already known (a proven bound) to skip the extra job."""
+    n = df.count() if n_rows is None else int(n_rows)
+    return (F.broadcast(df) if n <= max_rows else df), n
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: eager reliable checkpoint into the session's
+    ``spark.checkpoint.dir`` (never a local checkpoint)."""
+    from tallyspark.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
