@@ -1,10 +1,22 @@
 """tallyspark: periodic-investment backtests and exact document retrieval on Spark.
 
 Every operator is a pure function ``DataFrame -> DataFrame`` built from Spark's
-own operators (aggregations, windows, joins).  The one place that runs Python
-inside tasks is the dense top-k block kernel in ``operators.vectors``.
+own operators (aggregations, windows, joins).  Python runs inside tasks only in
+two Arrow-batched kernels in ``operators.vectors`` (bucket counting for the
+hashed embedding, and the dense top-k block kernel).
 """
 
-from tallyspark.session import get_session, checkpoint_dir
+import sys as _sys
+
+# Functions of this package that run inside Python workers (pandas UDFs,
+# mapInPandas kernels) are pickled by value, so executors need no installed
+# copy of the package and the driver may run from any working directory.
+try:  # pragma: no cover - depends on the pyspark build
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
+from tallyspark.session import get_session, checkpoint_dir  # noqa: E402
 
 __all__ = ["get_session", "checkpoint_dir"]
