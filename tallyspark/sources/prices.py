@@ -51,6 +51,18 @@ def to_naive(ts: Column, zone: str | None = None) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
 
 
+def check_range(start, end) -> None:
+    """A plan's start must be before its end."""
+    if start is not None and end is not None:
+        a = _dt.date.fromisoformat(str(start)[:10]) if not isinstance(start, _dt.date) else start
+        b = _dt.date.fromisoformat(str(end)[:10]) if not isinstance(end, _dt.date) else end
+        if isinstance(a, _dt.datetime) or isinstance(b, _dt.datetime):
+            a = a if isinstance(a, _dt.datetime) else _dt.datetime.combine(a, _dt.time())
+            b = b if isinstance(b, _dt.datetime) else _dt.datetime.combine(b, _dt.time())
+        if a >= b:
+            raise ValueError(f"start ({start}) must be before end ({end})")
+
+
 def price_scan(df: DataFrame, key: Column | str, ts: Column | str, price: Column | str,
                start=None, end=None, keys: Sequence[str] | None = None,
                extra: Sequence[Column | str] = ()) -> DataFrame:
@@ -60,6 +72,8 @@ def price_scan(df: DataFrame, key: Column | str, ts: Column | str, price: Column
     written on the source columns so that they reach the Parquet reader as
     ``PushedFilters``; NaN prices become NULL.
     """
+    if not isinstance(start, Column) and not isinstance(end, Column):
+        check_range(start, end)
     k = F.col(key) if isinstance(key, str) else key
     t = F.col(ts) if isinstance(ts, str) else ts
     p = F.col(price) if isinstance(price, str) else price
