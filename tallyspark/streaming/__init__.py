@@ -1,8 +1,12 @@
 """Streaming.
 
 The reference has no streaming operator: its "real time" is a fresh download
-and a full recomputation per click.  ``streaming.rerun`` expresses exactly
+and a full recomputation per click.  ``rerun_on_arrival`` expresses exactly
 that with Structured Streaming -- every micro-batch of newly landed price
-files triggers the batch ledger over the whole price table -- and adds no
+files triggers the batch ledger over the whole landed table -- and adds no
 stateful operator of its own.
 """
+
+from tallyspark.streaming.rerun import rerun_on_arrival
+
+__all__ = ["rerun_on_arrival"]

@@ -1,0 +1,25 @@
+"""Recompute-on-arrival trigger."""
+
+import os
+
+from conftest import prices_df
+from tallyspark.operators import ledger, periods
+from tallyspark.sources.prices import PRICE_SCHEMA
+from tallyspark.streaming import rerun_on_arrival
+
+
+def test_rerun_on_arrival(spark, tmpdir_path):
+    landing = os.path.join(tmpdir_path, "landing")
+    prices_df(spark, [("2024-01-03", 10.0), ("2024-02-03", 20.0)]).write.parquet(os.path.join(landing, "f1"))
+    seen = []
+
+    def compute(p):
+        return ledger.dca_ledger_cpi(periods.first_per_period(p), None, amount=100.0)
+
+    def sink(df, batch_id):
+        seen.append((batch_id, sorted((r["period"].month, r["units_cum"]) for r in df.collect())))
+
+    q = rerun_on_arrival(spark, os.path.join(landing, "*"), PRICE_SCHEMA, compute, sink,
+                         name=f"t{os.getpid()}", available_now=True)
+    q.awaitTermination(120)
+    assert seen and seen[-1][1] == [(1, 10.0), (2, 15.0)]
