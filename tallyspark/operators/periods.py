@@ -70,6 +70,30 @@ def first_per_period(prices: DataFrame, unit: str = "month", key: str = "series_
     return spine_fill(firsts, unit=unit, key=key)
 
 
+def first_per_period_rollup(prices: DataFrame, mapping: DataFrame, unit: str = "month",
+                            from_key: str = "series_key", to_key: str = "group_key",
+                            ts: str = "ts", price: str = "price",
+                            ties: Sequence[str] | None = None) -> DataFrame:
+    """A1 for *groups* of series (e.g. parts -> brands): first non-null price per
+    (group, period) over all member series.
+
+    The minimum of the ordering struct is associative, so ticks are first
+    reduced per (series, period) -- a partial aggregate -- and only those rows
+    are joined to ``mapping (from_key, to_key)`` and reduced again per (group,
+    period).  The join never sees raw ticks.  Output ``(series_key, period,
+    price)`` with ``series_key`` = the group key, gaps filled.
+    """
+    if ties is None:
+        ties = [c for c in ("tie1", "tie2") if c in prices.columns]
+    p = F.col(price)
+    order = F.when(p.isNotNull(), F.struct(F.col(ts), *[F.col(c) for c in ties], p))
+    per_series = (prices.select(F.col(from_key), period_start(F.col(ts), unit).alias("period"), order.alias("_o"))
+                  .groupBy(from_key, "period").agg(F.min("_o").alias("_o")))
+    grouped = (per_series.join(mapping.select(from_key, to_key), from_key)
+               .groupBy(F.col(to_key).alias("series_key"), "period").agg(F.min("_o").alias("_o")))
+    return spine_fill(grouped.select("series_key", "period", F.col("_o")[price].alias("price")), unit=unit)
+
+
 def spine_fill(periods: DataFrame, unit: str = "month", key: str = "series_key") -> DataFrame:
     """S6 on an aggregated ``(key, period, *values)`` table: insert every missing
     period between a series' first and last period, value columns NULL."""

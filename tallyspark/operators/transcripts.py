@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Our own greeting (the reference's names its product, so it is not copied);
 # callers pass their own.
@@ -24,17 +25,37 @@ def start_sessions(conv_ids: DataFrame, greeting: str = DEFAULT_GREETING) -> Dat
         F.lit(greeting).alias("text"))
 
 
-def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "seq") -> DataFrame:
+def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "seq",
+                 chunk: int = REPLAY_CHUNK) -> DataFrame:
     """Append ``new_turns (conv_id, <order_col>, role, text)`` after the last turn
     of each conversation: ``turn = max(turn) + row_number()`` in ``order_col``
     order (a conversation not seen before starts at 0).  Returns the whole
-    transcript ``(conv_id, turn, role, text)``."""
+    transcript ``(conv_id, turn, role, text)``.
+
+    When ``order_col`` is integral the numbering is computed without a window
+    over a whole conversation: rows are cut into (conversation, order_col //
+    chunk) blocks, block sizes are counted (partial aggregate), prefix sums of
+    those counts give each block's offset, and ``row_number`` runs inside a
+    block only -- a conversation holding a third of all rows is spread over
+    many tasks.
+    """
     last = transcript.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    w = Window.partitionBy("conv_id").orderBy(order_col)
-    added = (new_turns.join(last, "conv_id", "left")
-             .select("conv_id",
-                     (F.coalesce(F.col("_last"), F.lit(-1)) + F.row_number().over(w)).cast("bigint").alias("turn"),
-                     "role", "text"))
+    base = F.coalesce(F.col("_last"), F.lit(-1))
+    if isinstance(new_turns.schema[order_col].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        blk = new_turns.withColumn("_blk", F.floor(F.col(order_col) / F.lit(chunk)))
+        sizes = blk.groupBy("conv_id", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("conv_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+                   .join(last, "conv_id", "left")
+                   .select("conv_id", "_blk", (base + F.col("_off")).alias("_start")))
+        w = Window.partitionBy("conv_id", "_blk").orderBy(order_col)
+        added = (blk.join(offsets, ["conv_id", "_blk"])
+                 .select("conv_id", (F.col("_start") + F.row_number().over(w)).cast("bigint").alias("turn"),
+                         "role", "text"))
+    else:
+        w = Window.partitionBy("conv_id").orderBy(order_col)
+        added = (new_turns.join(last, "conv_id", "left")
+                 .select("conv_id", (base + F.row_number().over(w)).cast("bigint").alias("turn"), "role", "text"))
     return transcript.select("conv_id", F.col("turn").cast("bigint"), "role", "text").unionByName(added)
 
 

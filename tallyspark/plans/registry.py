@@ -138,7 +138,7 @@ def q_dca_cpi(spark, sf):
 
 
 def q_dca_cpi_brand(spark, sf):
-    m = periods.first_per_period(src.brand_prices(spark, sf), unit="month")
+    m = periods.first_per_period_rollup(src.lineitem_prices(spark, sf), src.part_brands(spark, sf))
     led = ledger.dca_ledger_cpi(m, _cpi(spark, sf), prepared=True)
     return led.select("series_key", "period", "price", "units", _r("units_cum"), _r("value", MONEY_ROUND), "nominal",
                       "cpi", "real_contrib", _r("real_cum", MONEY_ROUND))

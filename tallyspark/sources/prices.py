@@ -160,14 +160,11 @@ def lineitem_prices(spark: SparkSession, sf_dir: str, start=None, end=None) -> D
                       extra=[F.col("l_orderkey").alias("tie1"), F.col("l_linenumber").cast("bigint").alias("tie2")])
 
 
-def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense series: one per ``p_brand`` (lineitem joined to part on the key)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
-    j = li.join(part, li.l_partkey == part.p_partkey)
-    return price_scan(j, "p_brand", "l_shipdate",
-                      F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
-                      extra=[F.col("l_orderkey").alias("tie1"), F.col("l_linenumber").cast("bigint").alias("tie2")])
+def part_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series grouping for the dense stand-in: part key -> brand
+    ``(series_key, group_key)``, keyed like ``lineitem_prices``."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").cast("string").alias("series_key"), F.col("p_brand").alias("group_key"))
 
 
 def events_prices(spark: SparkSession, sf_dir: str) -> DataFrame:

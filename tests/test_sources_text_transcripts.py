@@ -111,3 +111,16 @@ def test_replay_long_conversation_chunks(spark):
     r = transcripts.replay(conv).first()
     assert r["n_turns"] == n
     assert r["transcript"].split("\n") == [f"user: {i}" for i in range(n)]
+
+
+def test_append_turns_chunked_equals_window(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")],
+                                 "conv_id long, turn long, role string, text string")
+    new_rows = [(1, s, "user", f"m{s}") for s in (9, 2, 3, 15, 4, 11)] + [(2, s, "user", f"n{s}") for s in (5, 1)]
+    new = spark.createDataFrame(new_rows, "conv_id long, seq long, role string, text string")
+    chunked = transcripts.append_turns(conv, new, chunk=3).orderBy("conv_id", "turn").collect()
+    plain = transcripts.append_turns(conv, new.withColumn("seq", F.col("seq").cast("double"))) \
+        .orderBy("conv_id", "turn").collect()
+    assert chunked == plain
+    assert [r["text"] for r in chunked if r["conv_id"] == 1] == ["a", "b", "m2", "m3", "m4", "m9", "m11", "m15"]
+    assert [(r["turn"], r["text"]) for r in chunked if r["conv_id"] == 2] == [(0, "n1"), (1, "n5")]
