@@ -28,6 +28,13 @@ def ffill(c: str, key: str = "series_key", order: str = "period") -> Column:
 
 
 def ffill_bfill(c: str, key: str = "series_key", order: str = "period") -> Column:
-    """W4 then W5: forward fill, and only the leading gap from the first value."""
+    """W4 then W5: forward fill, then back-fill what is left.
+
+    After a forward fill only the leading gap is still empty, and there the
+    next non-null value is the series' *first* non-null value.  So the
+    back-fill is ``first(ignorenulls)`` over the whole partition -- computed
+    once per partition -- instead of a ``CURRENT ROW .. UNBOUNDED FOLLOWING``
+    frame, which Spark re-aggregates for every row (quadratic in the number of
+    periods of a series)."""
     return F.coalesce(ffill(c, key, order),
-                      F.first(F.col(c), ignorenulls=True).over(following(key, order)))
+                      F.first(F.col(c), ignorenulls=True).over(whole(key, order)))
