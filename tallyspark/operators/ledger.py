@@ -44,15 +44,24 @@ def period_index(key: str = "series_key") -> Column:
     return (F.row_number().over(series_window(key)) - 1).cast("bigint")
 
 
-def prepare_cpi(cpi: DataFrame, max_rows: int = MAX_CPI_ROWS, checkpoint: bool = True) -> DataFrame:
+def prepare_cpi(cpi: DataFrame, max_rows: int = MAX_CPI_ROWS, checkpoint: bool = True,
+                normalise_periods: bool = False, unit: str = "month") -> DataFrame:
     """Validate a ``(period, cpi)`` table and pick the join strategy.
 
-    Periods must be unique (a duplicate would fan ledger rows out *after* the
-    running sums); this is checked with one aggregate job.  The table is
-    checkpointed first so that a derived index is computed once.  It is
-    broadcast only when its measured row count is within ``max_rows``.
+    As in the reference, index rows join only on the exact period start; with
+    ``normalise_periods`` their dates are first truncated to the period start
+    (off by default).  NaN values become NULL.  Periods must be unique (a
+    duplicate would fan ledger rows out *after* the running sums); this is
+    checked with one aggregate job.  The table is checkpointed first so that a
+    derived index is computed once.  It is broadcast only when its measured
+    row count is within ``max_rows``.
     """
-    cpi = cpi.select(F.col("period").cast("date").alias("period"), F.col("cpi").cast("double").alias("cpi"))
+    from tallyspark.functions.nulls import nan_to_null
+    from tallyspark.operators.periods import period_start
+    period = F.col("period").cast("date")
+    if normalise_periods:
+        period = period_start(period, unit)
+    cpi = cpi.select(period.alias("period"), nan_to_null(F.col("cpi").cast("double")).alias("cpi"))
     if checkpoint:
         cpi = materialize(cpi)
     stats = cpi.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("period").alias("d"),

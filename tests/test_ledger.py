@@ -189,3 +189,13 @@ def test_invariants(spark):
     j = pdf.merge(led2, on=["series_key", "period"])
     ok = j["units_x"].isna() | ((j["units_x"] / 2 - j["units_y"]).abs() <= 1e-12 * j["units_x"].abs())
     assert ok.all()
+
+
+def test_cpi_off_month_start_needs_normalising(spark):
+    df = prices_df(spark, [("2024-01-02", 10.0), ("2024-02-02", 10.0)])
+    cpi = cpi_df(spark, [("2024-01-15", 100.0), ("2024-02-15", float("nan"))])
+    exact = ledger.with_cpi(periods.first_per_period(df), cpi)
+    assert [r["cpi"] for r in exact.collect()] == [None, None]  # mid-month rows never match
+    norm = ledger.with_cpi(periods.first_per_period(df), ledger.prepare_cpi(cpi, normalise_periods=True),
+                           prepared=True)
+    assert [r["cpi"] for r in norm.orderBy("period").collect()] == [100.0, 100.0]  # NaN -> NULL -> filled
