@@ -29,3 +29,21 @@ def materialize(df: DataFrame) -> DataFrame:
     from tallyspark.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_thin_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when it arrives in fewer
+    partitions than there are cores; otherwise return it unchanged.
+
+    Parquet is read at most one row group per task, so a file written as a
+    single row group is read -- and every per-row operator fused into that
+    stage runs -- on one core.  Used in front of CPU-heavy per-row work only
+    (the embedding kernels).  A scan over many files already has more
+    partitions than cores and is left as it is, so at scale this adds no
+    exchange; it fires only for inputs that are thin compared with the
+    cluster, where moving them costs less than idling every core but one.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
