@@ -26,7 +26,7 @@ PATTERNS = {
     "topk_partial": r"WindowGroupLimit .*Partial",
     "smj": r"SortMergeJoin",
     "bhj": r"BroadcastHashJoin",
-    "python": r"ArrowEvalPython|MapInPandas|FlatMapCoGroupsInPandas",
+    "python": r"ArrowEvalPython|MapInPandas|MapInArrow|FlatMapCoGroupsIn(Pandas|Arrow)",
 }
 
 
