@@ -54,8 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The folder comes from ``spark.checkpoint.dir`` (or one already set on the
-    context).  Only when neither is set -- a local test run -- a scratch folder
-    under the system temp directory is created and registered.
+    context).  Only when neither is set *and* the master is local -- a test
+    run on one machine -- a scratch folder under the system temp directory is
+    created and registered.  On a cluster an unset folder is an error: a
+    machine-local path would not be shared by the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or object storage)")
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -23,3 +23,29 @@ def test_rerun_on_arrival(spark, tmpdir_path):
                          name=f"t{os.getpid()}", available_now=True)
     q.awaitTermination(120)
     assert seen and seen[-1][1] == [(1, 10.0), (2, 15.0)]
+
+
+def test_cluster_without_checkpoint_dir_is_an_error():
+    """Only a local master gets a scratch checkpoint folder; a cluster must name a shared one."""
+    import pytest
+    from tallyspark.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
