@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.operators.sizing import materialize
+
 # Our own greeting (the reference's names its product, so it is not copied);
 # callers pass their own.
 DEFAULT_GREETING = ("¡Hola! Soy tu consultor sobre Bitcoin. ¿Te gustaría analizar cómo afecta la "
@@ -32,30 +34,41 @@ def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "
     order (a conversation not seen before starts at 0).  Returns the whole
     transcript ``(conv_id, turn, role, text)``.
 
-    When ``order_col`` is integral the numbering is computed without a window
-    over a whole conversation: rows are cut into (conversation, order_col //
-    chunk) blocks, block sizes are counted (partial aggregate), prefix sums of
-    those counts give each block's offset, and ``row_number`` runs inside a
-    block only -- a conversation holding a third of all rows is spread over
-    many tasks.
+    No window ever spans a whole conversation, so a conversation holding a
+    third of all rows is spread over many tasks.  Rows tied on ``order_col``
+    are ordered by ``(role, text)`` so the numbering is deterministic.
+
+    * ``order_col`` integral: rows are cut into (conversation, order_col //
+      chunk) blocks, block sizes are counted (partial aggregate), prefix sums of
+      those counts give each block's offset, and ``row_number`` runs inside a
+      block only.
+    * any other orderable type (timestamps, doubles, strings): the rows are
+      range-partitioned on (conversation, order, ties) -- Spark samples the
+      boundaries, so a hot conversation is cut over several partitions -- and
+      numbered inside (partition, conversation); that table is checkpointed
+      (partition tags must not change between its two uses), and prefix sums of
+      the per-(conversation, partition) counts give the offsets.
     """
     last = transcript.groupBy("conv_id").agg(F.max("turn").alias("_last"))
     base = F.coalesce(F.col("_last"), F.lit(-1))
+    order = [F.col(order_col), F.col("role"), F.col("text")]
     if isinstance(new_turns.schema[order_col].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        blk = new_turns.withColumn("_blk", F.floor(F.col(order_col) / F.lit(chunk)))
-        sizes = blk.groupBy("conv_id", "_blk").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy("conv_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                   .join(last, "conv_id", "left")
-                   .select("conv_id", "_blk", (base + F.col("_off")).alias("_start")))
-        w = Window.partitionBy("conv_id", "_blk").orderBy(order_col)
-        added = (blk.join(offsets, ["conv_id", "_blk"])
-                 .select("conv_id", (F.col("_start") + F.row_number().over(w)).cast("bigint").alias("turn"),
-                         "role", "text"))
+        piece = new_turns.withColumn("_piece", F.floor(F.col(order_col) / F.lit(chunk)))
+        w = Window.partitionBy("conv_id", "_piece").orderBy(*order)
+        numbered = piece.withColumn("_pos", F.row_number().over(w))
     else:
-        w = Window.partitionBy("conv_id").orderBy(order_col)
-        added = (new_turns.join(last, "conv_id", "left")
-                 .select("conv_id", (base + F.row_number().over(w)).cast("bigint").alias("turn"), "role", "text"))
+        n_parts = int(new_turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = (new_turns.repartitionByRange(n_parts, F.col("conv_id"), *order)
+                  .withColumn("_piece", F.spark_partition_id()))
+        w = Window.partitionBy("_piece", "conv_id").orderBy(*order)
+        numbered = materialize(ranged.withColumn("_pos", F.row_number().over(w)))
+    sizes = numbered.groupBy("conv_id", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+               .join(last, "conv_id", "left")
+               .select("conv_id", "_piece", (base + F.col("_off")).alias("_start")))
+    added = (numbered.join(offsets, ["conv_id", "_piece"])
+             .select("conv_id", (F.col("_start") + F.col("_pos")).cast("bigint").alias("turn"), "role", "text"))
     return transcript.select("conv_id", F.col("turn").cast("bigint"), "role", "text").unionByName(added)
 
 

@@ -124,3 +124,26 @@ def test_append_turns_chunked_equals_window(spark):
     assert chunked == plain
     assert [r["text"] for r in chunked if r["conv_id"] == 1] == ["a", "b", "m2", "m3", "m4", "m9", "m11", "m15"]
     assert [(r["turn"], r["text"]) for r in chunked if r["conv_id"] == 2] == [(0, "n1"), (1, "n5")]
+
+
+def test_append_turns_hot_conversation_timestamp_order(spark):
+    """One conversation holds most new turns, ordered by a timestamp: numbering
+    equals a plain per-conversation sort, with ties broken by (role, text)."""
+    import datetime as dt
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    n = 3000
+    conv_ids = np.where(rng.random(n) < 0.6, 1, rng.integers(2, 40, n))
+    base = dt.datetime(2024, 1, 1)
+    ts = [base + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 500, n)]  # many exact ties
+    rows = [(int(c), t, "user" if i % 3 else "assistant", f"m{i}") for i, (c, t) in enumerate(zip(conv_ids, ts))]
+    new = spark.createDataFrame(rows, "conv_id long, seq timestamp_ntz, role string, text string")
+    old = spark.createDataFrame([(1, 0, "assistant", "hola"), (1, 1, "user", "x")],
+                                "conv_id long, turn long, role string, text string")
+    got = transcripts.append_turns(old, new).toPandas()
+    pdf = pd.DataFrame(rows, columns=["conv_id", "seq", "role", "text"]).sort_values(["conv_id", "seq", "role", "text"])
+    pdf["turn"] = pdf.groupby("conv_id").cumcount() + np.where(pdf["conv_id"] == 1, 2, 0)
+    want = sorted(map(tuple, pdf[["conv_id", "turn", "role", "text"]].itertuples(index=False)))
+    added = got[~got["text"].isin(["hola", "x"])][["conv_id", "turn", "role", "text"]]
+    assert sorted(map(tuple, added.itertuples(index=False))) == want
