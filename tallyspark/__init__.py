@@ -2,14 +2,14 @@
 
 Every operator is a pure function ``DataFrame -> DataFrame`` built from Spark's
 own operators (aggregations, windows, joins).  Python runs inside tasks only in
-two Arrow-batched kernels in ``operators.vectors`` (bucket counting for the
+two Arrow-native kernels in ``operators.vectors`` (bucket counting for the
 hashed embedding, and the dense top-k block kernel).
 """
 
 import sys as _sys
 
-# Functions of this package that run inside Python workers (pandas UDFs,
-# mapInPandas kernels) are pickled by value, so executors need no installed
+# Functions of this package that run inside Python workers (Arrow UDFs,
+# mapInArrow / applyInArrow kernels) are pickled by value, so executors need no installed
 # copy of the package and the driver may run from any working directory.
 try:  # pragma: no cover - depends on the pyspark build
     from pyspark import cloudpickle as _cloudpickle
