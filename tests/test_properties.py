@@ -64,3 +64,34 @@ def test_ledgers_equal_pandas(spark, rows):
                          ("nominal", "nominal_pd"), ("nominal_fix", "fix_nominal"), ("value_fix", "fix_value"),
                          ("real", "fix_real")]:
         assert same(j[mine], j[theirs]), mine
+
+
+vec = st.lists(st.integers(-3, 3), min_size=4, max_size=4)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(vec, min_size=1, max_size=25), st.lists(vec, min_size=1, max_size=6), st.integers(1, 30),
+       st.sampled_from(["l2", "cosine"]), st.booleans())
+def test_knn_equals_brute_force_with_ties(spark, corpus, questions, k, metric, blocked):
+    """Small integer vectors give many exact duplicates and exact distance ties;
+    k may exceed the corpus.  Rank order is (distance rounded to 9 places, id)."""
+    from tallyspark.operators import vectors
+    corpus = [c for c in corpus if any(v != 0 for v in c)] or [[1, 0, 0, 0]]
+    questions = [q for q in questions if any(v != 0 for v in q)] or [[0, 1, 0, 0]]
+    cdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(corpus)],
+                                "doc_id long, embedding array<float>")
+    qdf = spark.createDataFrame([(100 + i, [float(x) for x in v]) for i, v in enumerate(questions)],
+                                "q_id long, embedding array<float>")
+    kw = {"max_broadcast_bytes": 16, "corpus_block_rows": 3} if blocked else {}
+    got = vectors.knn(qdf, cdf, k=k, metric=metric, dim=4, **kw).toPandas()
+    for qi, q in enumerate(questions):
+        a = np.asarray(q, float)
+        ds = []
+        for ci, c in enumerate(corpus):
+            b = np.asarray(c, float)
+            d = ((a - b) ** 2).sum() if metric == "l2" else 1 - a @ b / np.sqrt((a @ a) * (b @ b))
+            ds.append((round(max(d, 0.0), 9), ci))
+        want = [ci for _, ci in sorted(ds)[:k]]
+        g = got[got["q_id"] == 100 + qi].sort_values("rank")
+        assert g["doc_id"].tolist() == want
+        assert g["rank"].tolist() == list(range(1, len(want) + 1))
