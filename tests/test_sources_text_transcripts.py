@@ -80,6 +80,8 @@ def test_kpi_text(spark):
     assert got["s"]["roi_text"] == "-25.1%" + T.ROI_SUFFIX  # a loss is not shown as "+-"
     assert got["t"]["nominal_text"] == "$1,000" and got["t"]["roi_text"] == "+20.0%" + T.ROI_SUFFIX
     assert got["t"]["devaluation_text"] == "0.2%" + T.DEVALUATION_SUFFIX
+    ref = {r["series_key"]: r["roi_text"] for r in kpi.kpi_labels(snap, roi_sign="always_plus").collect()}
+    assert ref == {"s": "+-25.1%" + T.ROI_SUFFIX, "t": "+20.0%" + T.ROI_SUFFIX}  # the reference's label
 
 
 def test_state_metrics_absent_column_is_zero(spark):
