@@ -1,12 +1,18 @@
-"""Size-checked broadcasts.
+"""Sizing decisions taken from measured (bounded) row counts.
 
-A side is broadcast only after its row count has been *measured* (one small
-action) and found under a limit; above the limit the plain DataFrame is
-returned and Spark plans a shuffle join (with AQE's skew-join splitting).
+* Broadcasts: a side is broadcast only after its row count has been
+  *measured* (one small action) and found under a limit; above the limit the
+  plain DataFrame is returned and Spark plans a shuffle join (with AQE's
+  skew-join splitting).
+* Thin inputs: an input with fewer partitions than cores is spread before a
+  CPU-heavy per-row kernel, as far as its (bounded-probe) row count justifies.
+* Lineage cuts: reliable checkpoints into ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,10 @@ from pyspark.sql import functions as F
 # neighbour lists).  Rows here are narrow: 1M rows is a few tens of MB.
 MAX_BROADCAST_ROWS = 1_000_000
 
+# Smallest number of rows worth a task of its own when a thin input is spread
+# in front of a CPU-heavy per-row kernel.
+MIN_ROWS_PER_SPREAD_TASK = 1_000
+
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                       n_rows: int | None = None) -> tuple[DataFrame, int]:
@@ -31,7 +41,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_thin_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread_thin_input(df: DataFrame, min_partitions: int | None = None,
+                      min_rows_per_task: int = MIN_ROWS_PER_SPREAD_TASK) -> DataFrame:
     """Round-robin ``df`` over the cluster's cores when it arrives in fewer
     partitions than there are cores; otherwise return it unchanged.
 
@@ -42,8 +53,17 @@ def spread_thin_input(df: DataFrame, min_partitions: int | None = None) -> DataF
     partitions than cores and is left as it is, so at scale this adds no
     exchange; it fires only for inputs that are thin compared with the
     cluster, where moving them costs less than idling every core but one.
+
+    The spread is sized by the data: a bounded probe counts at most
+    ``cores x min_rows_per_task + 1`` rows (a limit pushed into the thin
+    input's scan), and the input is cut into ``ceil(rows / min_rows_per_task)``
+    partitions, at most one per core -- a few thousand questions on a large
+    cluster become a few tasks, not one near-empty task per core.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    have = df.rdd.getNumPartitions()
+    if have >= target:
         return df
-    return df.repartition(target)
+    n = df.limit(target * min_rows_per_task + 1).count()
+    parts = min(target, max(1, math.ceil(n / min_rows_per_task)))
+    return df if parts <= have else df.repartition(parts)
