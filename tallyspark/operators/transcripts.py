@@ -78,14 +78,20 @@ def failure_turn(conv_id_df: DataFrame, error_col: str = "error") -> DataFrame:
                              F.concat(F.lit(FAILURE_PREFIX), F.col(error_col)).alias("text"))
 
 
-def replay(transcript: DataFrame, sep: str = "\n") -> DataFrame:
-    """Render each conversation as ``role: text`` lines in turn order:
-    ``(conv_id, n_turns, transcript)``.
-
-    Two levels so that no single ``collect_list`` holds more than
-    ``REPLAY_CHUNK`` entries: turns are first joined per (conversation, chunk),
-    then the chunks per conversation (a very long conversation is spread over
-    several tasks in the first level).
+def replay(transcript: DataFrame, sep: str = "\n", chunked: bool = False) -> DataFrame:
+    """Render each conversation as ``role: text`` lines in turn order.
+
+    ``chunked=False``: ``(conv_id, n_turns, transcript)``, one row per
+    conversation.  Two levels, so that no single ``collect_list`` holds more
+    than ``REPLAY_CHUNK`` lines: turns are first joined per (conversation,
+    chunk), then the chunks per conversation.  The result row still holds the
+    whole conversation, so this form is for conversations whose text fits in
+    one row.
+
+    ``chunked=True``: ``(conv_id, chunk, n_turns, transcript)``, one row per
+    (conversation, block of ``REPLAY_CHUNK`` turns) -- every group and every
+    row is bounded, however long a conversation is; reading the rows in
+    ``chunk`` order replays it.
     """
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     chunks = (transcript
@@ -94,6 +100,9 @@ def replay(transcript: DataFrame, sep: str = "\n") -> DataFrame:
               .agg(F.count(F.lit(1)).alias("_n"),
                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))),
                                             lambda x: x["line"]), sep).alias("_text")))
+    if chunked:
+        return chunks.select("conv_id", F.col("_chunk").alias("chunk"), F.col("_n").alias("n_turns"),
+                             F.col("_text").alias("transcript"))
     return (chunks.groupBy("conv_id")
             .agg(F.sum("_n").alias("n_turns"),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_text"))),

@@ -250,6 +250,9 @@ FROM conversations"""
     s["transcript_replay"] = """SELECT conv_id, count(*) AS n_turns,
        string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id"""
+    s["transcript_replay_chunks"] = f"""SELECT conv_id, CAST(floor(turn / {TR.REPLAY_CHUNK}) AS BIGINT) AS chunk,
+       count(*) AS n_turns, string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS transcript
+FROM conversations GROUP BY conv_id, chunk"""
     return s
 
 

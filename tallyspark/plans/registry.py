@@ -247,6 +247,10 @@ def q_transcript_replay(spark, sf):
     return transcripts.replay(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
+def q_transcript_replay_chunks(spark, sf):
+    return transcripts.replay(spark.read.parquet(f"{sf}/conversations.parquet"), chunked=True)
+
+
 QUERIES: dict[str, Query] = {
     "price_scan": q_price_scan,
     "fallback_source": q_fallback_source,
@@ -280,4 +284,5 @@ QUERIES: dict[str, Query] = {
     "rag_prompts": q_rag_prompts,
     "transcript_append": q_transcript_append,
     "transcript_replay": q_transcript_replay,
+    "transcript_replay_chunks": q_transcript_replay_chunks,
 }

@@ -113,6 +113,10 @@ def test_replay_long_conversation_chunks(spark):
     r = transcripts.replay(conv).first()
     assert r["n_turns"] == n
     assert r["transcript"].split("\n") == [f"user: {i}" for i in range(n)]
+    parts = transcripts.replay(conv, chunked=True).orderBy("chunk").collect()
+    assert [p["chunk"] for p in parts] == [0, 1, 2]
+    assert [p["n_turns"] for p in parts] == [transcripts.REPLAY_CHUNK, transcripts.REPLAY_CHUNK, 5]
+    assert "\n".join(p["transcript"] for p in parts) == r["transcript"]  # chunk order replays the conversation
 
 
 def test_append_turns_chunked_equals_window(spark):
