@@ -95,3 +95,26 @@ def test_knn_equals_brute_force_with_ties(spark, corpus, questions, k, metric, b
         g = got[got["q_id"] == 100 + qi].sort_values("rank")
         assert g["doc_id"].tolist() == want
         assert g["rank"].tolist() == list(range(1, len(want) + 1))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["u1", "u2"]), st.integers(0, 60 * 24), st.integers(0, 59),
+                          st.one_of(st.none(), st.floats(1, 1e4, allow_nan=False))), min_size=1, max_size=40),
+       st.sampled_from(["week", "day"]))
+def test_week_and_day_periods_equal_pandas(spark, rows, unit):
+    """A2: first non-null price per week (weeks start Monday) or per day, empty
+    periods inside a series' span included -- against pandas ``resample``."""
+    data = [(k, DAY0 + dt.timedelta(hours=h, minutes=m), p) for k, h, m, p in rows]
+    got = periods.first_per_period(spark.createDataFrame(data, PRICE_SCHEMA), unit=unit).toPandas()
+    rule = {"week": "W-MON", "day": "D"}[unit]
+    want = []
+    for key, g in pd.DataFrame(data, columns=["series_key", "ts", "price"]).groupby("series_key"):
+        s = g.sort_values(["ts", "price"], na_position="last").set_index("ts")["price"].astype(float)
+        r = s.resample(rule, label="left", closed="left").first() if unit == "week" else s.resample(rule).first()
+        want.append(pd.DataFrame({"series_key": key, "period": r.index.date, "price": r.to_numpy()}))
+    want = pd.concat(want)
+    j = got.merge(want, on=["series_key", "period"], how="outer", suffixes=("", "_pd"), indicator=True)
+    assert (j["_merge"] == "both").all() and len(j) == len(want)
+    assert same(j["price"], j["price_pd"])
+    if unit == "week":
+        assert all(p.weekday() == 0 for p in got["period"])
