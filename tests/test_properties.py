@@ -118,3 +118,33 @@ def test_week_and_day_periods_equal_pandas(spark, rows, unit):
     assert same(j["price"], j["price_pd"])
     if unit == "week":
         assert all(p.weekday() == 0 for p in got["period"])
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.just("s"), st.integers(0, 400), st.integers(0, 3),
+                          st.one_of(st.none(), st.floats(0.5, 1e5, allow_nan=False))), min_size=1, max_size=30),
+       st.dictionaries(st.integers(-3, 18), st.one_of(st.just(float("nan")), st.floats(50, 150)), max_size=10))
+def test_cpi_ledger_equals_pandas(spark, rows, cpi_months):
+    """C1 with an index: exact-period left join, ffill then bfill, "CPI now" =
+    filled value of the last ledger period, real = amount * cpi / cpi_now, running
+    sum.  CPI rows may sit outside the price span, be NaN, or be missing."""
+    from pyspark.sql import types as PT
+    data = [(k, DAY0 + dt.timedelta(days=d, hours=h), p) for k, d, h, p in rows]
+    cpi_rows = [((pd.Timestamp(DAY0) + pd.DateOffset(months=mo)).date(), v) for mo, v in sorted(cpi_months.items())]
+    cpi_schema = PT.StructType([PT.StructField("period", PT.DateType()), PT.StructField("cpi", PT.DoubleType())])
+    cpi = spark.createDataFrame(cpi_rows, cpi_schema)
+    got = ledger.dca_ledger_cpi(periods.first_per_period(spark.createDataFrame(data, PRICE_SCHEMA)), cpi,
+                                amount=1000.0).toPandas().sort_values("period").reset_index(drop=True)
+    s = (pd.DataFrame(data, columns=["series_key", "ts", "price"]).sort_values(["ts", "price"], na_position="last")
+         .set_index("ts")["price"].astype(float))
+    m = s.resample("MS").first().to_frame("price")
+    ipc = pd.DataFrame({"IPC": [v for _, v in cpi_rows]}, index=pd.DatetimeIndex([pd.Timestamp(p) for p, _ in cpi_rows]))
+    j = m.join(ipc, how="left") if len(ipc) else m.assign(IPC=np.nan)
+    j["IPC"] = j["IPC"].ffill().bfill()
+    now = j["IPC"].iloc[-1]
+    j["real_contrib"] = 1000.0 * (j["IPC"] / now)
+    j["real_cum"] = j["real_contrib"].cumsum()
+    assert len(got) == len(j)
+    assert same(got["cpi"], j["IPC"])
+    assert same(got["real_contrib"], j["real_contrib"])
+    assert same(got["real_cum"], j["real_cum"])
