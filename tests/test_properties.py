@@ -148,3 +148,22 @@ def test_cpi_ledger_equals_pandas(spark, rows, cpi_months):
     assert same(got["cpi"], j["IPC"])
     assert same(got["real_contrib"], j["real_contrib"])
     assert same(got["real_cum"], j["real_cum"])
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.floats(50, 150)), min_size=1, max_size=24))
+def test_purchasing_power_decay_equals_running_product(spark, cpis):
+    """real = nominal * prod(1 - i_t), i_t = cpi_t / cpi_{t-1} - 1 on the filled index, i_0 = 0."""
+    from pyspark.sql import types as PT
+    months = [(pd.Timestamp(DAY0) + pd.DateOffset(months=i)).to_pydatetime() for i in range(len(cpis))]
+    prices = spark.createDataFrame([("s", t, 10.0) for t in months], PRICE_SCHEMA)
+    cpi_schema = PT.StructType([PT.StructField("period", PT.DateType()), PT.StructField("cpi", PT.DoubleType())])
+    cpi = spark.createDataFrame([(t.date(), v) for t, v in zip(months, cpis) if v is not None], cpi_schema)
+    led = ledger.dca_ledger_cpi(periods.first_per_period(prices), cpi, amount=1000.0)
+    got = ledger.purchasing_power_decay(led).toPandas().sort_values("period").reset_index(drop=True)
+    filled = pd.Series(cpis, dtype=float).ffill().bfill()
+    i = (filled / filled.shift(1) - 1).fillna(0.0)
+    decay = (1 - i).cumprod()
+    nominal = 1000.0 * np.arange(1, len(cpis) + 1)
+    assert same(got["inflation"], i) and same(got["decay"], decay)
+    assert same(got["real"], nominal * decay)
