@@ -40,14 +40,24 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    times: dict[str, float] = {}
+    times: dict[str, float | None] = {}
+    errors: dict[str, str] = {}
     for name in names:
-        once(name)  # warm-up: JIT, Python workers, file listing
-        times[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+        try:
+            once(name)  # warm-up: JIT, Python workers, file listing
+            times[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+        except Exception as e:  # noqa: BLE001 - a failing query is reported, not hidden
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
 
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
-    print(json.dumps({"metric": "headline_total_median_sec", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs}))
+    out = {"metric": "headline_total_median_sec", "value": round(sum(t for t in times.values() if t is not None), 3),
+           "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
+    if errors:
+        sys.exit(1)
 
 
 if __name__ == "__main__":
