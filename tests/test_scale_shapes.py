@@ -63,3 +63,17 @@ def test_month_spine_spans_gaps(spark):
                                src.PRICE_SCHEMA)
     got = [r["period"] for r in periods.date_spine(df).orderBy("period").collect()]
     assert got == [dt.date(2023, 11, 1), dt.date(2023, 12, 1), dt.date(2024, 1, 1), dt.date(2024, 2, 1)]
+
+
+def test_retrieval_never_shuffles_the_corpus(spark):
+    """Broadcast path: questions and the neighbour list are broadcast; the corpus
+    (its vectors in the kernel, its text in the neighbour join) is never
+    exchanged by document id."""
+    from tallyspark.operators import retrieval
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
+    qs = retrieval.questions_from_conversations(spark.read.parquet(f"{SF0001}/conversations.parquet"))
+    ctx = retrieval.retrieve_context(qs, docs)
+    plan = ctx._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BroadcastHashJoin" in plan
+    assert "Exchange hashpartitioning(doc_id" not in plan
+    assert ctx.count() == qs.count()
