@@ -77,3 +77,14 @@ def test_retrieval_never_shuffles_the_corpus(spark):
     assert "MapInArrow" in plan and "BroadcastHashJoin" in plan
     assert "Exchange hashpartitioning(doc_id" not in plan
     assert ctx.count() == qs.count()
+
+
+def test_cpi_ledger_two_exchanges_one_broadcast(spark):
+    """Flagship plan: the partial first-price aggregate by (key, period), one
+    exchange by key shared by every window, and the measured CPI table broadcast."""
+    cpi = ledger.prepare_cpi(src.orders_cpi(spark, SF0001))
+    led = ledger.dca_ledger_cpi(periods.first_per_period(src.lineitem_prices(spark, SF0001)), cpi, prepared=True)
+    plan = led._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
