@@ -72,9 +72,12 @@ def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "
     return transcript.select("conv_id", F.col("turn").cast("bigint"), "role", "text").unionByName(added)
 
 
-def failure_turn(conv_id_df: DataFrame, error_col: str = "error") -> DataFrame:
-    """An assistant turn recording a failed answer (to be appended)."""
-    return conv_id_df.select("conv_id", F.lit("assistant").alias("role"),
+def failure_turn(conv_id_df: DataFrame, error_col: str = "error", order_col: str = "seq") -> DataFrame:
+    """An assistant turn recording a failed answer, ready for ``append_turns``:
+    ``(conv_id, <order_col>, role, text)`` (the order column is carried over
+    when the input has it)."""
+    keep = [F.col(order_col)] if order_col in conv_id_df.columns else []
+    return conv_id_df.select("conv_id", *keep, F.lit("assistant").alias("role"),
                              F.concat(F.lit(FAILURE_PREFIX), F.col(error_col)).alias("text"))
 
 

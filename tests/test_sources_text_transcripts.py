@@ -153,3 +153,13 @@ def test_append_turns_hot_conversation_timestamp_order(spark):
     want = sorted(map(tuple, pdf[["conv_id", "turn", "role", "text"]].itertuples(index=False)))
     added = got[~got["text"].isin(["hola", "x"])][["conv_id", "turn", "role", "text"]]
     assert sorted(map(tuple, added.itertuples(index=False))) == want
+
+
+def test_failed_answer_is_appended_as_assistant_turn(spark):
+    conv = transcripts.start_sessions(spark.createDataFrame([(5,)], "conv_id long"))
+    asked = transcripts.append_turns(conv, spark.createDataFrame([(5, 1, "user", "¿qué es DCA?")],
+                                                                 "conv_id long, seq long, role string, text string"))
+    err = spark.createDataFrame([(5, 2, "timeout")], "conv_id long, seq long, error string")
+    out = transcripts.append_turns(asked, transcripts.failure_turn(err)).orderBy("turn").collect()
+    assert [(r["turn"], r["role"]) for r in out] == [(0, "assistant"), (1, "user"), (2, "assistant")]
+    assert out[2]["text"] == transcripts.FAILURE_PREFIX + "timeout"
