@@ -14,10 +14,6 @@ def running(key: str = "series_key", order: str = "period"):
     return series_window(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def following(key: str = "series_key", order: str = "period"):
-    return series_window(key, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
-
 def whole(key: str = "series_key", order: str = "period"):
     return series_window(key, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 

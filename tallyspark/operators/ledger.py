@@ -16,17 +16,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.rates import discount, periodic_rate
 from tallyspark.operators.fill import ffill_bfill, running, series_window, whole
-from tallyspark.operators.sizing import bounded_broadcast, materialize
 
 # Defaults of the two reference calculations.
 LIBRARY_AMOUNT = 1000.0      # per-period contribution of the CPI ledger
 APP_AMOUNT = 2000.0          # per-period contribution of the fixed-rate ledger
 APP_ANNUAL_INFLATION = 0.05  # annual inflation of the fixed-rate ledger
 
-# Upper bound on CPI rows that may be broadcast (one row per period: 1M months
-# is far beyond any real index; a larger table is joined by shuffle instead).
-MAX_CPI_ROWS = 1_000_000
-
 
 def masked_cumsum(c: str, key: str = "series_key") -> Column:
     """Running sum that is NULL on rows where ``c`` is NULL (pandas
@@ -34,9 +29,14 @@ def masked_cumsum(c: str, key: str = "series_key") -> Column:
     return F.when(F.col(c).isNotNull(), F.sum(F.col(c)).over(running(key)))
 
 
-def nominal_ladder(amount: float, key: str = "series_key") -> Column:
+def number(x: float | Column) -> Column:
+    """A parameter that is the same for all rows, or a column of its own."""
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def nominal_ladder(amount: float | Column, key: str = "series_key") -> Column:
     """``amount * period number``; every period counts, empty ones too."""
-    return F.lit(float(amount)) * F.row_number().over(series_window(key)).cast("double")
+    return number(amount) * F.row_number().over(series_window(key)).cast("double")
 
 
 def period_index(key: str = "series_key") -> Column:
@@ -44,32 +44,25 @@ def period_index(key: str = "series_key") -> Column:
     return (F.row_number().over(series_window(key)) - 1).cast("bigint")
 
 
-def prepare_cpi(cpi: DataFrame, max_rows: int = MAX_CPI_ROWS, checkpoint: bool = True,
-                normalise_periods: bool = False, unit: str = "month") -> DataFrame:
-    """Validate a ``(period, cpi)`` table and pick the join strategy.
+def prepare_cpi(cpi: DataFrame, normalise_periods: bool = False, unit: str = "month") -> DataFrame:
+    """A ``(period, cpi)`` table with one row per period, checked inside the plan.
 
     As in the reference, index rows join only on the exact period start; with
     ``normalise_periods`` their dates are first truncated to the period start
     (off by default).  NaN values become NULL.  Periods must be unique (a
-    duplicate would fan ledger rows out *after* the running sums); this is
-    checked with one aggregate job.  The table is checkpointed first so that a
-    derived index is computed once.  It is broadcast only when its measured
-    row count is within ``max_rows``.
+    duplicate would fan ledger rows out *after* the running sums): a second row
+    for a period raises an error when the plan runs.  No job runs here, and the
+    join strategy is left to Spark, which knows the table's bytes.
     """
     from tallyspark.functions.nulls import nan_to_null
     from tallyspark.operators.periods import period_start
     period = F.col("period").cast("date")
     if normalise_periods:
         period = period_start(period, unit)
-    cpi = cpi.select(period.alias("period"), nan_to_null(F.col("cpi").cast("double")).alias("cpi"))
-    if checkpoint:
-        cpi = materialize(cpi)
-    stats = cpi.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("period").alias("d"),
-                    F.count("period").alias("nn")).first()
-    if stats["nn"] != stats["d"]:
-        raise ValueError("price-index table has duplicate periods")
-    hinted, _ = bounded_broadcast(cpi, max_rows, n_rows=stats["n"])
-    return hinted
+    checked = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("price-index table has duplicate periods")).cast("double"))
+    return (cpi.select(period.alias("period"), nan_to_null(F.col("cpi").cast("double")).alias("cpi"))
+            .where(F.col("period").isNotNull())
+            .groupBy("period").agg(checked.otherwise(F.max("cpi")).alias("cpi")))
 
 
 def with_cpi(periods: DataFrame, cpi: DataFrame | None, key: str = "series_key",
@@ -113,25 +106,26 @@ def dca_ledger_cpi(periods: DataFrame, cpi: DataFrame | None = None, amount: flo
                       "cpi", "real_contrib", "real_cum")
 
 
-def dca_ledger_fixed_rate(periods: DataFrame, amount: float = APP_AMOUNT,
-                          annual_inflation: float = APP_ANNUAL_INFLATION, unit: str = "month",
+def dca_ledger_fixed_rate(periods: DataFrame, amount: float | Column = APP_AMOUNT,
+                          annual_inflation: float | Column = APP_ANNUAL_INFLATION, unit: str = "month",
                           key: str = "series_key", detail: bool = False) -> DataFrame:
     """The dashboard ledger.
 
     Prices **are** forward- then back-filled, so every period buys;
     ``real = nominal / (1 + r)^n`` with ``r`` the per-period rate of
-    ``annual_inflation`` and ``n`` the period index from 0.
+    ``annual_inflation`` and ``n`` the period index from 0.  Both parameters
+    may be columns of ``periods`` (one value per key), so many plans run at once.
     """
-    a = F.lit(float(amount))
     r = periodic_rate(annual_inflation, unit)
-    led = periods.select(F.col(key), F.col("period"), F.col("price"),
+    led = periods.select(F.col(key), F.col("period"), F.col("price"), number(amount).alias("_amount"),
+                         (r if isinstance(r, Column) else F.lit(r)).alias("_rate"),
                          ffill_bfill("price", key).alias("price_filled"),
                          nominal_ladder(amount, key).alias("nominal"),
                          period_index(key).alias("n"))
-    led = led.withColumn("units", F.try_divide(a, F.col("price_filled")))
+    led = led.withColumn("units", F.try_divide(F.col("_amount"), F.col("price_filled")))
     led = led.withColumn("units_cum", masked_cumsum("units", key))
     led = led.withColumns({"value": F.col("units_cum") * F.col("price_filled"),
-                           "real": discount(F.col("nominal"), r, F.col("n"))})
+                           "real": discount(F.col("nominal"), F.col("_rate"), F.col("n"))})
     if detail:
         return led.select(key, "period", "price", "price_filled", "n", "units", "units_cum",
                           "nominal", "real", "value")

@@ -3,7 +3,8 @@
 Plan shape, per series key:
 
 1. ``groupBy(series_key, period)`` with ``min_by(price, struct(ts, ties...))``
-   restricted to non-null prices.  This is a partial (map-side) aggregate, so
+   restricted to non-null prices -- or by the bare timestamp, as a hash
+   aggregate, where the caller knows it to be unique.  This is a partial (map-side) aggregate, so
    raw ticks never cross the shuffle -- only one row per (key, period, map
    partition) -- and a hot key is spread over its periods, not one task.
 2. One window stage partitioned by ``series_key`` over the *aggregated*
@@ -49,17 +50,21 @@ def _prev_period(p: Column, unit: str) -> Column:
 
 def first_per_period(prices: DataFrame, unit: str = "month", key: str = "series_key",
                      ts: str = "ts", price: str = "price",
-                     ties: Sequence[str] | None = None, fill_gaps: bool = True) -> DataFrame:
+                     ties: Sequence[str] | None = None, fill_gaps: bool = True, unique_ts: bool = False) -> DataFrame:
     """A1/A2 (+S6): ``(series_key, period date, price double)``.
 
     ``price`` is the earliest non-null price of the period, ordered by
     ``(ts, *ties, price)``; periods inside a series' span that have no
     observation appear with a NULL price (``fill_gaps``).
+
+    ``unique_ts`` is the caller's word that no two prices of a key share a
+    timestamp: the ordering is then one fixed-width value and Spark plans a
+    hash aggregate, where a struct needs every map task to sort its ticks.
     """
     if ties is None:
         ties = [c for c in ("tie1", "tie2") if c in prices.columns]
     p = F.col(price)
-    order = F.when(p.isNotNull(), F.struct(F.col(ts), *[F.col(c) for c in ties], p))
+    order = F.when(p.isNotNull(), F.col(ts) if unique_ts else F.struct(F.col(ts), *[F.col(c) for c in ties], p))
     firsts = (prices
               .select(F.col(key), period_start(F.col(ts), unit).alias("period"), F.col(ts), p.alias(price),
                       *[F.col(c) for c in ties])

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyspark.operators.sizing import materialize
+from tallyspark.session import checkpoint_dir
 
-# Our own greeting (the reference's names its product, so it is not copied);
-# callers pass their own.
-DEFAULT_GREETING = ("¡Hola! Soy tu consultor sobre Bitcoin. ¿Te gustaría analizar cómo afecta la "
-                    "inflación a tus ahorros o prefieres platicar sobre los fundamentos de Bitcoin?")
-# Fixed value: the text of an assistant turn recorded when answering failed.
-FAILURE_PREFIX = "*(Fallo en la red)* La madriguera colapsó temporalmente: "
+# Texts of turns that the library itself writes; callers pass their own.
+DEFAULT_GREETING = "Escribe tu pregunta para empezar la conversación."
+FAILURE_PREFIX = "Sin respuesta por un error: "
 
 # Turns per first-level chunk when a transcript is rendered (bounds the size of
 # every collect_list; see ``replay``).
@@ -27,46 +23,34 @@ def start_sessions(conv_ids: DataFrame, greeting: str = DEFAULT_GREETING) -> Dat
         F.lit(greeting).alias("text"))
 
 
-def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "seq",
-                 chunk: int = REPLAY_CHUNK) -> DataFrame:
+def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "seq") -> DataFrame:
     """Append ``new_turns (conv_id, <order_col>, role, text)`` after the last turn
     of each conversation: ``turn = max(turn) + row_number()`` in ``order_col``
     order (a conversation not seen before starts at 0).  Returns the whole
     transcript ``(conv_id, turn, role, text)``.
 
-    No window ever spans a whole conversation, so a conversation holding a
-    third of all rows is spread over many tasks.  Rows tied on ``order_col``
-    are ordered by ``(role, text)`` so the numbering is deterministic.
-
-    * ``order_col`` integral: rows are cut into (conversation, order_col //
-      chunk) blocks, block sizes are counted (partial aggregate), prefix sums of
-      those counts give each block's offset, and ``row_number`` runs inside a
-      block only.
-    * any other orderable type (timestamps, doubles, strings): the rows are
-      range-partitioned on (conversation, order, ties) -- Spark samples the
-      boundaries, so a hot conversation is cut over several partitions -- and
-      numbered inside (partition, conversation); that table is checkpointed
-      (partition tags must not change between its two uses), and prefix sums of
-      the per-(conversation, partition) counts give the offsets.
+    One way for every orderable type: rows are range-partitioned on
+    (conversation, order, role, text), so Spark's sampled boundaries cut a hot
+    conversation over many tasks however dense its order column is; rows are
+    numbered inside (partition, conversation), and prefix sums of the counts of
+    those pieces -- one row each -- give the offsets.  The numbered table is
+    checkpointed, as both uses must see the same pieces.  Rows that are equal in
+    all four columns are interchangeable.
     """
     last = transcript.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    base = F.coalesce(F.col("_last"), F.lit(-1))
     order = [F.col(order_col), F.col("role"), F.col("text")]
-    if isinstance(new_turns.schema[order_col].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        piece = new_turns.withColumn("_piece", F.floor(F.col(order_col) / F.lit(chunk)))
-        w = Window.partitionBy("conv_id", "_piece").orderBy(*order)
-        numbered = piece.withColumn("_pos", F.row_number().over(w))
-    else:
-        n_parts = int(new_turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = (new_turns.repartitionByRange(n_parts, F.col("conv_id"), *order)
-                  .withColumn("_piece", F.spark_partition_id()))
-        w = Window.partitionBy("_piece", "conv_id").orderBy(*order)
-        numbered = materialize(ranged.withColumn("_pos", F.row_number().over(w)))
+    spark = new_turns.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (new_turns.select("conv_id", order_col, "role", "text").repartitionByRange(n_parts, F.col("conv_id"), *order)
+              .withColumn("_piece", F.spark_partition_id()))
+    w = Window.partitionBy("_piece", "conv_id").orderBy(*order)
+    checkpoint_dir(spark)
+    numbered = ranged.withColumn("_pos", F.row_number().over(w)).checkpoint(eager=True)
     sizes = numbered.groupBy("conv_id", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                .join(last, "conv_id", "left")
-               .select("conv_id", "_piece", (base + F.col("_off")).alias("_start")))
+               .select("conv_id", "_piece", (F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_off")).alias("_start")))
     added = (numbered.join(offsets, ["conv_id", "_piece"])
              .select("conv_id", (F.col("_start") + F.col("_pos")).cast("bigint").alias("turn"), "role", "text"))
     return transcript.select("conv_id", F.col("turn").cast("bigint"), "role", "text").unionByName(added)
@@ -81,17 +65,17 @@ def failure_turn(conv_id_df: DataFrame, error_col: str = "error", order_col: str
                              F.concat(F.lit(FAILURE_PREFIX), F.col(error_col)).alias("text"))
 
 
-def replay(transcript: DataFrame, sep: str = "\n", chunked: bool = False) -> DataFrame:
+def replay(transcript: DataFrame, sep: str = "\n", chunked: bool = True) -> DataFrame:
     """Render each conversation as ``role: text`` lines in turn order.
 
     ``chunked=False``: ``(conv_id, n_turns, transcript)``, one row per
-    conversation.  Two levels, so that no single ``collect_list`` holds more
+    conversation, for conversations known to be short.  Two levels, so that no single ``collect_list`` holds more
     than ``REPLAY_CHUNK`` lines: turns are first joined per (conversation,
     chunk), then the chunks per conversation.  The result row still holds the
     whole conversation, so this form is for conversations whose text fits in
     one row.
 
-    ``chunked=True``: ``(conv_id, chunk, n_turns, transcript)``, one row per
+    ``chunked=True`` (default): ``(conv_id, chunk, n_turns, transcript)``, one row per
     (conversation, block of ``REPLAY_CHUNK`` turns) -- every group and every
     row is bounded, however long a conversation is; reading the rows in
     ``chunk`` order replays it.

@@ -10,13 +10,24 @@ names.  Rounding matches the registry: 6 decimals on order-dependent sums,
 
 from __future__ import annotations
 
-from tallyspark.functions import text as T
-from tallyspark.operators import ledger as L
-from tallyspark.operators import retrieval as R
-from tallyspark.operators import transcripts as TR
-from tallyspark.operators import vectors as V
-from tallyspark.functions.rates import periodic_rate
-from tallyspark.plans import registry as Q
+# Values the results must show, stated here once more and not read from the
+# code under test: the reference's parameters, labels and formats, the test
+# queries' parameters, and the library's own defaults.
+LIBRARY_AMOUNT, APP_AMOUNT, APP_ANNUAL, MONTHS, WEEKS = 1000.0, 2000.0, 0.05, 12, 52
+DIM, K, SMALL_K, CHUNK = 384, 2, 50, 1024
+SCAN_START, SCAN_END, FALLBACK_START = "1996-01-01", "1998-01-01", "1997-01-01"
+RANGE_START, RANGE_END, RANGE_AMOUNT, RANGE_ANNUAL = "1996-03-15", "2000-06-01", 2500.0, 0.04
+SEPARATOR, HEADINGS = "\n---\n", ("CONTEXTO EDUCATIVO (RAG):", "ESTADO ACTUAL DE LA CARTERA:")
+PREAMBLE = "Responde solo con los datos de las dos secciones siguientes."
+GREETING = "Escribe tu pregunta para empezar la conversación."
+MONEY, CURRENCY, DEVALUATION, ROI = "$", " MXN", " devaluación", " ROI Estrategia"
+TOTAL_LABEL, PEAK_LABEL = "Total Invertido (DCA): ", "Valor de la Cartera Hoy: "
+NOTE = "NOTA: Evalúa siempre cómo afecta la inflación a tus finanzas a largo plazo."
+NO_METRICS = "Métricas actuales no disponibles."
+
+
+def rate(annual: float, n: int) -> float:
+    return (1.0 + annual) ** (1.0 / n) - 1.0
 
 
 def lit(s: str) -> str:
@@ -60,7 +71,7 @@ spine AS (SELECT series_key, CAST(p AS DATE) AS period
 periods AS (SELECT s.series_key, s.period, f.price FROM spine s LEFT JOIN firsts f USING (series_key, period))"""
 
 
-def ledger_cpi_cte(obs: str = LI_OBS, amount: float = L.LIBRARY_AMOUNT) -> str:
+def ledger_cpi_cte(obs: str = LI_OBS, amount: float = LIBRARY_AMOUNT) -> str:
     a = num(amount)
     return f"""{periods_cte(obs)},
 {CPI},
@@ -81,10 +92,10 @@ ledger AS (SELECT *, CASE WHEN real_contrib IS NOT NULL
            FROM l3)"""
 
 
-def ledger_fixed_cte(obs: str = LI_OBS, unit: str = "month", amount: float = L.APP_AMOUNT,
-                     annual: float = L.APP_ANNUAL_INFLATION) -> str:
+def ledger_fixed_cte(obs: str = LI_OBS, unit: str = "month", amount: float = APP_AMOUNT,
+                     annual: float = APP_ANNUAL) -> str:
     a = num(amount)
-    r = num(1.0 + periodic_rate(annual, unit))
+    r = num(1.0 + rate(annual, {"month": MONTHS, "week": WEEKS}[unit]))
     return f"""{periods_cte(obs, unit)},
 f1 AS (SELECT series_key, period, price,
               coalesce(last_value(price IGNORE NULLS) OVER (PARTITION BY series_key ORDER BY period {RUN}),
@@ -101,7 +112,7 @@ def embed_cte(name: str, table: str, keys: list[str], text: str = "text", where:
     """``{name}_w(keys..., bucket, w)`` float32-rounded weights and ``{name}_n(keys..., n2)``."""
     k = ", ".join(keys)
     return f"""{name}_tok AS (SELECT {k}, unnest(regexp_split_to_array(lower({text}), '[^\\pL\\pN]+')) AS tok FROM {table} {where}),
-{name}_tf AS (SELECT {k}, CAST((CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % {V.DIM}) AS INTEGER) AS bucket,
+{name}_tf AS (SELECT {k}, CAST((CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % {DIM}) AS INTEGER) AS bucket,
                      count(*) AS tf FROM {name}_tok WHERE tok <> '' GROUP BY ALL),
 {name}_w AS (SELECT {k}, bucket, CAST(CAST(tf / sqrt(sum(tf * tf) OVER (PARTITION BY {k})) AS FLOAT) AS DOUBLE) AS w
              FROM {name}_tf),
@@ -121,10 +132,10 @@ ranked AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, t
                   {d_key}, dist FROM pairs QUALIFY rank <= {k})"""
 
 
-def context_sql(corpus: str, d_key: str, k: int = V.DEFAULT_K, with_question: bool = True) -> str:
+def context_sql(corpus: str, d_key: str, k: int = K, with_question: bool = True) -> str:
     qcol = "q.text AS question, " if with_question else ""
     return f"""WITH {topk_text_cte(corpus, d_key, k)}
-SELECT q.conv_id, q.turn, {qcol}coalesce(string_agg(c.text, {lit(R.CONTEXT_SEPARATOR)} ORDER BY r.rank), '') AS context
+SELECT q.conv_id, q.turn, {qcol}coalesce(string_agg(c.text, {lit(SEPARATOR)} ORDER BY r.rank), '') AS context
 FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') q
 LEFT JOIN ranked r USING (conv_id, turn)
 LEFT JOIN {corpus} c ON c.{d_key} = r.{d_key}
@@ -139,7 +150,7 @@ def knn_graph_sql(metric: str) -> str:
     return f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 pairs AS (SELECT a.vec_id AS q_id, b.vec_id, round(greatest({d}, 0), 9) AS dist FROM v a, v b WHERE a.vec_id <> b.vec_id)
 SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist
-FROM pairs QUALIFY rank <= {V.DEFAULT_K}"""
+FROM pairs QUALIFY rank <= {K}"""
 
 
 def half_up(x: str, d: int) -> str:
@@ -147,7 +158,7 @@ def half_up(x: str, d: int) -> str:
 
 
 def money(x: str) -> str:
-    return f"({lit(T.MONEY_PREFIX)} || format('{{:,}}', CAST({half_up(x, 0)} AS HUGEINT)))"
+    return f"({lit(MONEY)} || format('{{:,}}', CAST({half_up(x, 0)} AS HUGEINT)))"
 
 
 def two_dec(x: str) -> str:
@@ -155,13 +166,13 @@ def two_dec(x: str) -> str:
 
 
 def metrics_block(total: str, peak: str) -> str:
-    return (f"{lit(T.METRICS_TOTAL_LABEL)} || {two_dec(total)} || {lit(T.CURRENCY_SUFFIX + chr(10))} || "
-            f"{lit(T.METRICS_PEAK_LABEL)} || {two_dec(peak)} || {lit(T.CURRENCY_SUFFIX + chr(10))} || "
-            f"{lit(T.METRICS_NOTE)}")
+    return (f"{lit(TOTAL_LABEL)} || {two_dec(total)} || {lit(CURRENCY + chr(10))} || "
+            f"{lit(PEAK_LABEL)} || {two_dec(peak)} || {lit(CURRENCY + chr(10))} || "
+            f"{lit(NOTE)}")
 
 
-def kpi_cte() -> str:
-    return f"""{ledger_fixed_cte()},
+def kpi_cte(ledger: str | None = None) -> str:
+    return f"""{ledger or ledger_fixed_cte()},
 last_row AS (SELECT series_key, arg_max({{'nominal': nominal, 'real': "real", 'value': value}}, period) AS l,
                     max(period) AS period FROM fixed GROUP BY 1),
 snap AS (SELECT series_key, period, l.nominal AS nominal, l."real" AS "real", l.value AS value,
@@ -173,8 +184,8 @@ snap AS (SELECT series_key, period, l.nominal AS nominal, l."real" AS "real", l.
 def _sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["price_scan"] = f"""SELECT series_key, ts, price FROM ({LI_OBS})
-WHERE ts >= TIMESTAMP '{Q.SCAN_START}' AND ts < TIMESTAMP '{Q.SCAN_END}'"""
-    s["fallback_source"] = f"SELECT series_key, ts, price FROM ({LI_OBS}) WHERE ts >= TIMESTAMP '{Q.FALLBACK_START}'"
+WHERE ts >= TIMESTAMP '{SCAN_START}' AND ts < TIMESTAMP '{SCAN_END}'"""
+    s["fallback_source"] = f"SELECT series_key, ts, price FROM ({LI_OBS}) WHERE ts >= TIMESTAMP '{FALLBACK_START}'"
     s["corpus_append"] = """SELECT 'documents' AS origin, doc_id, text FROM documents
 UNION ALL SELECT 'benchmark' AS origin, item_id AS doc_id, text FROM benchmark"""
     s["date_spine"] = f"""WITH b AS (SELECT series_key, min({PERIOD['month']}) AS lo, max({PERIOD['month']}) AS hi
@@ -187,7 +198,7 @@ FROM b, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INT
     s["cum_units_gappy"] = f"""WITH {ledger_cpi_cte()}
 SELECT series_key, period, price, units, round(units_cum, 6) AS units_cum FROM ledger"""
     s["nominal_ladder"] = f"""WITH {periods_cte(LI_OBS)}
-SELECT series_key, period, row_number() OVER w AS n_periods, {num(L.LIBRARY_AMOUNT)} * row_number() OVER w AS nominal
+SELECT series_key, period, row_number() OVER w AS n_periods, {num(LIBRARY_AMOUNT)} * row_number() OVER w AS nominal
 FROM periods WINDOW w AS (PARTITION BY series_key ORDER BY period)"""
     s["ffill_bfill"] = f"""WITH {periods_cte(LI_OBS)}
 SELECT series_key, period, price,
@@ -207,7 +218,7 @@ SELECT series_key, period, nominal, round("real", 3) AS "real", round(value, 3)
     s["dca_fixed_rate_week"] = f"""WITH {ledger_fixed_cte(EV_OBS, 'week')}
 SELECT series_key, period, nominal, round("real", 3) AS "real", round(value, 3) AS value FROM fixed"""
     s["total_units"] = f"""WITH {periods_cte(LI_OBS)}
-SELECT series_key, round(sum(CASE WHEN price <> 0 THEN {num(L.LIBRARY_AMOUNT)} / price END), 6) AS total_units
+SELECT series_key, round(sum(CASE WHEN price <> 0 THEN {num(LIBRARY_AMOUNT)} / price END), 6) AS total_units
 FROM periods GROUP BY 1"""
     s["purchasing_power_decay"] = f"""WITH {ledger_cpi_cte()},
 i AS (SELECT series_key, period, nominal,
@@ -221,8 +232,8 @@ SELECT series_key, period, nominal, round("real", 3) AS "real", round(value, 3)
        round(devaluation_pct, 6) AS devaluation_pct, round(roi_pct, 6) AS roi_pct FROM snap"""
     s["kpi_labels"] = f"""WITH {kpi_cte()}
 SELECT series_key, {money('nominal')} AS nominal_text, {money('"real"')} AS real_text, {money('value')} AS value_text,
-       printf('%.1f%%', {half_up('devaluation_pct', 1)}) || {lit(T.DEVALUATION_SUFFIX)} AS devaluation_text,
-       printf('%+.1f%%', {half_up('roi_pct', 1)}) || {lit(T.ROI_SUFFIX)} AS roi_text
+       printf('%.1f%%', {half_up('devaluation_pct', 1)}) || {lit(DEVALUATION)} AS devaluation_text,
+       printf('%+.1f%%', {half_up('roi_pct', 1)}) || {lit(ROI)} AS roi_text
 FROM snap"""
     s["state_metrics"] = f"""WITH {ledger_fixed_cte()}
 SELECT series_key, max(nominal) AS total_invested, round(max(value), 3) AS portfolio_peak FROM fixed GROUP BY 1"""
@@ -233,24 +244,50 @@ SELECT series_key, {metrics_block('t', 'p')} AS metrics_text FROM m"""
 SELECT doc_id, bucket, tf, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS weight FROM d_tf"""
     s["knn_l2_top2"] = knn_graph_sql("l2")
     s["knn_cosine_top2"] = knn_graph_sql("cosine")
-    s["knn_small_corpus"] = f"""WITH {topk_text_cte('benchmark', 'item_id', Q.SMALL_CORPUS_K)}
+    s["knn_small_corpus"] = f"""WITH {topk_text_cte('benchmark', 'item_id', SMALL_K)}
 SELECT conv_id, turn, rank, item_id, dist FROM ranked"""
     s["context_concat"] = context_sql("benchmark", "item_id", with_question=False)
     s["doc_retrieval"] = context_sql("documents", "doc_id")
-    system = (f"{lit(R.DEFAULT_PREAMBLE + chr(10) + chr(10) + R.CONTEXT_HEADING + chr(10))} || ctx.context || "
-              f"{lit(chr(10) + chr(10) + R.STATE_HEADING + chr(10))} || st.metrics_text || {lit(chr(10))}")
+    system = (f"{lit(PREAMBLE + chr(10) + chr(10) + HEADINGS[0] + chr(10))} || ctx.context || "
+              f"{lit(chr(10) + chr(10) + HEADINGS[1] + chr(10))} || st.metrics_text || {lit(chr(10))}")
     s["rag_prompts"] = f"""WITH ctx AS ({context_sql('documents', 'doc_id')}),
 st AS (WITH {ledger_fixed_cte()} SELECT {metrics_block('max(nominal)', 'max(value)')} AS metrics_text FROM fixed)
 SELECT ctx.conv_id, ctx.turn, {system} AS system, ctx.question AS "user" FROM ctx, st"""
+    s["rag_prompts_by_session"] = f"""WITH ctx AS ({context_sql('documents', 'doc_id')}),
+st AS (WITH {ledger_fixed_cte()} SELECT series_key, {metrics_block('max(nominal)', 'max(value)')} AS metrics_text FROM fixed GROUP BY 1)
+SELECT ctx.conv_id, ctx.turn, {system.replace('st.metrics_text', f'coalesce(st.metrics_text, {lit(NO_METRICS)})')} AS system,
+       ctx.question AS "user" FROM ctx LEFT JOIN st ON st.series_key = CAST(ctx.conv_id AS VARCHAR)"""
+    s["doc_retrieval_blocks"] = s["doc_retrieval"]
+    # texts are looked up by row, not by id
+    s["doc_retrieval_appended"] = (context_sql("twice", "rid")
+        .replace("WITH ", "WITH twice AS (SELECT *, doc_id * 2 + c AS rid FROM documents, range(2) r(c)), ", 1))
+    s["price_scan_keys"] = f"SELECT series_key, ts, price FROM ({LI_OBS}) WHERE series_key IN ('1', '7', '42', '150')"
+    ranged = f"SELECT * FROM ({LI_OBS}) WHERE ts >= TIMESTAMP '{RANGE_START}' AND ts < TIMESTAMP '{RANGE_END}'"
+    snap = """period, nominal, round("real", 3) AS "real", round(value, 3) AS value,
+       round(devaluation_pct, 6) AS devaluation_pct, round(roi_pct, 6) AS roi_pct FROM snap"""
+    s["backtest_range"] = f"WITH {kpi_cte(ledger_fixed_cte(ranged, 'month', RANGE_AMOUNT, RANGE_ANNUAL))} SELECT series_key, {snap}"
+    by_plan = f"""SELECT CAST(p.plan_id AS VARCHAR) AS series_key, o.ts, o.t1, o.t2, o.price FROM plans p JOIN ({LI_OBS}) o USING (series_key)
+                  WHERE o.ts >= p.lo AND o.ts < p.hi"""
+    plan_ledger = (ledger_fixed_cte(by_plan)
+                   .replace(num(1.0 + rate(APP_ANNUAL, MONTHS)), f"(1 + (pow(1 + annual, {num(1 / 12)}) - 1))")
+                   .replace(num(APP_AMOUNT), "amount")
+                   .replace("FROM periods)", "FROM periods JOIN terms USING (series_key))")
+                   .replace("SELECT series_key, period, price,\n              coalesce", "SELECT series_key, period, price, amount, annual,\n              coalesce"))
+    s["plan_batch"] = f"""WITH plans AS (SELECT c_custkey AS plan_id, CAST(c_custkey AS VARCHAR) AS series_key, 500.0 + 500.0 * (c_custkey % 20) AS amount,
+       TIMESTAMP '1995-06-01' + to_months(CAST(c_custkey % 24 AS INTEGER)) AS lo,
+       TIMESTAMP '1998-06-01' + to_months(CAST(c_custkey % 24 AS INTEGER)) AS hi, CAST(c_custkey % 10 AS DOUBLE) / 100 AS annual FROM customer),
+terms AS (SELECT CAST(plan_id AS VARCHAR) AS series_key, CAST(amount AS DOUBLE) AS amount, annual FROM plans),
+{kpi_cte(plan_ledger)} SELECT CAST(series_key AS BIGINT) AS plan_id, {snap}"""
+    s["kpi_labels_plus"] = s["kpi_labels"].replace("printf('%+.1f%%'", "'+' || printf('%.1f%%'")
     s["transcript_append"] = f"""SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS turn, 'assistant' AS role,
-       {lit(TR.DEFAULT_GREETING)} AS text FROM conversations
+       {lit(GREETING)} AS text FROM conversations
 UNION ALL
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn, role, text
 FROM conversations"""
     s["transcript_replay"] = """SELECT conv_id, count(*) AS n_turns,
        string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id"""
-    s["transcript_replay_chunks"] = f"""SELECT conv_id, CAST(floor(turn / {TR.REPLAY_CHUNK}) AS BIGINT) AS chunk,
+    s["transcript_replay_chunks"] = f"""SELECT conv_id, CAST(floor(turn / {CHUNK}) AS BIGINT) AS chunk,
        count(*) AS n_turns, string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id, chunk"""
     return s

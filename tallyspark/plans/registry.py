@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import kpi, ledger, periods, retrieval, transcripts, vectors
+from tallyspark.operators import backtest, kpi, ledger, periods, retrieval, transcripts, vectors
 from tallyspark.sources import prices as src
 from tallyspark.sources.text import append_corpus
 
@@ -23,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Plan parameters used by the registered queries.
 SCAN_START, SCAN_END = "1996-01-01", "1998-01-01"
 FALLBACK_START = "1997-01-01"
+SCAN_KEYS = [1, 7, 42, 150]
+RANGE_START, RANGE_END, RANGE_AMOUNT, RANGE_ANNUAL = "1996-03-15", "2000-06-01", 2500.0, 0.04
 SMALL_CORPUS_K = 50
 ROUND = 6
 MONEY_ROUND = 3  # money columns reach 1e6+: fewer decimals keep float noise off the last digit
@@ -70,7 +72,7 @@ def q_fallback_source(spark, sf):
     df = src.with_fallback(spark,
                            primary=lambda: spark.read.parquet(f"{sf}/prices.parquet"),
                            backup=lambda: src.lineitem_prices(spark, sf),
-                           start=FALLBACK_START)
+                           start=FALLBACK_START, origin="origin")
     return df.select("series_key", "ts", "price")
 
 
@@ -80,6 +82,10 @@ def q_corpus_append(spark, sf):
     return append_corpus(docs, bench)
 
 
+def q_price_scan_keys(spark, sf):
+    return src.lineitem_prices(spark, sf, keys=SCAN_KEYS).select("series_key", "ts", "price")
+
+
 # --- periods ---------------------------------------------------------------
 
 def q_date_spine(spark, sf):
@@ -91,11 +97,11 @@ def q_period_first_month(spark, sf):
 
 
 def q_period_first_week(spark, sf):
-    return periods.first_per_period(src.events_prices(spark, sf), unit="week")
+    return periods.first_per_period(src.events_prices(spark, sf), unit="week", unique_ts=True)
 
 
 def q_period_first_day(spark, sf):
-    return periods.first_per_period(src.events_prices(spark, sf), unit="day")
+    return periods.first_per_period(src.events_prices(spark, sf), unit="day", unique_ts=True)
 
 
 # --- ledgers ---------------------------------------------------------------
@@ -149,7 +155,7 @@ def q_dca_fixed_rate(spark, sf):
 
 
 def q_dca_fixed_rate_week(spark, sf):
-    m = periods.first_per_period(src.events_prices(spark, sf), unit="week")
+    m = periods.first_per_period(src.events_prices(spark, sf), unit="week", unique_ts=True)
     led = ledger.dca_ledger_fixed_rate(m, unit="week")
     return led.select("series_key", "period", "nominal", _r("real", MONEY_ROUND), _r("value", MONEY_ROUND))
 
@@ -215,7 +221,7 @@ def _question_vectors(spark, sf):
 
 
 def q_knn_small_corpus(spark, sf):
-    idx = retrieval.build_index(_benchmark(spark, sf), d_key="item_id")
+    idx = retrieval.index_of(_benchmark(spark, sf), d_key="item_id")
     return vectors.knn(_question_vectors(spark, sf), idx, k=SMALL_CORPUS_K, q_keys=["conv_id", "turn"],
                        d_key="item_id")
 
@@ -235,6 +241,53 @@ def q_rag_prompts(spark, sf):
     return retrieval.rag_prompts(ctx, state)
 
 
+def q_doc_retrieval_blocks(spark, sf):
+    """The same retrieval with the questions cut into several blocks."""
+    return retrieval.retrieve_context(_user_questions(spark, sf), _documents(spark, sf), question_blocks=3)
+
+
+def q_doc_retrieval_appended(spark, sf):
+    """Retrieval over a corpus appended to itself: still k fragments a question."""
+    docs = _documents(spark, sf)
+    return retrieval.retrieve_context(_user_questions(spark, sf), append_corpus(docs, docs))
+
+
+def q_rag_prompts_by_session(spark, sf):
+    """Each conversation has a portfolio of its own: the series with its number."""
+    ctx = retrieval.retrieve_context(_user_questions(spark, sf), _documents(spark, sf))
+    state = kpi.metrics_text(kpi.state_metrics(_ledger_fixed(spark, sf)))
+    state = state.select(F.col("series_key").cast("bigint").alias("conv_id"), "metrics_text")
+    return retrieval.rag_prompts(ctx, state, state_keys=["conv_id"])
+
+
+# --- plans -------------------------------------------------------------------
+
+def _snapshot(df, key):
+    return df.select(key, "period", "nominal", _r("real", MONEY_ROUND), _r("value", MONEY_ROUND), _r("devaluation_pct"), _r("roi_pct"))
+
+
+def q_backtest_range(spark, sf):
+    """One plan for every series: scan of a range, ledger, snapshot."""
+    m = periods.first_per_period(src.lineitem_prices(spark, sf, start=RANGE_START, end=RANGE_END))
+    led = ledger.dca_ledger_fixed_rate(m, RANGE_AMOUNT, RANGE_ANNUAL)
+    return _snapshot(kpi.kpi_snapshot(led), "series_key")
+
+
+def q_plan_batch(spark, sf):
+    """A plan for every customer, on the part with the customer's number, with terms of its own."""
+    n = F.col("c_custkey")
+    plans = spark.read.parquet(f"{sf}/customer.parquet").select(
+        n.alias("plan_id"), n.cast("string").alias("series_key"), (500.0 + 500.0 * (n % 20)).alias("amount"),
+        F.add_months(F.lit("1995-06-01").cast("date"), (n % 24).cast("int")).alias("start"),
+        F.add_months(F.lit("1998-06-01").cast("date"), (n % 24).cast("int")).alias("end"), ((n % 10) / 100.0).alias("annual"))
+    return _snapshot(backtest.backtest(plans, src.lineitem_prices(spark, sf)), "plan_id")
+
+
+def q_kpi_labels_plus(spark, sf):
+    """Labels in the reference's own form, with a plus before every ROI."""
+    return kpi.kpi_labels(kpi.kpi_snapshot(_ledger_fixed(spark, sf)), roi_sign="always_plus")
+
+
 # --- transcripts -------------------------------------------------------------
 
 def q_transcript_append(spark, sf):
@@ -244,7 +297,7 @@ def q_transcript_append(spark, sf):
 
 
 def q_transcript_replay(spark, sf):
-    return transcripts.replay(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return transcripts.replay(spark.read.parquet(f"{sf}/conversations.parquet"), chunked=False)
 
 
 def q_transcript_replay_chunks(spark, sf):
@@ -253,6 +306,13 @@ def q_transcript_replay_chunks(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "price_scan": q_price_scan,
+    "price_scan_keys": q_price_scan_keys,
+    "backtest_range": q_backtest_range,
+    "plan_batch": q_plan_batch,
+    "kpi_labels_plus": q_kpi_labels_plus,
+    "doc_retrieval_blocks": q_doc_retrieval_blocks,
+    "doc_retrieval_appended": q_doc_retrieval_appended,
+    "rag_prompts_by_session": q_rag_prompts_by_session,
     "fallback_source": q_fallback_source,
     "corpus_append": q_corpus_append,
     "date_spine": q_date_spine,

@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,7 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # checkpointed CPI tables and vector indexes are removed once unreferenced
+    # checkpointed tables are removed once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -74,10 +73,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,8 @@ def price_scan(df: DataFrame, key: Column | str, ts: Column | str, price: Column
     """Project a source onto the price schema and filter it.
 
     The date range is half-open ``[start, end)``, ``end`` optional.  Filters are
-    written on the source columns so that they reach the Parquet reader as
+    written on the source columns -- keys are cast to the key column's type, not
+    the column to text -- so that they reach the Parquet reader as
     ``PushedFilters``; NaN prices become NULL.
     """
     if not isinstance(start, Column) and not isinstance(end, Column):
@@ -81,20 +83,25 @@ def price_scan(df: DataFrame, key: Column | str, ts: Column | str, price: Column
         out = out.where(t >= _lit_ts(start))
     if end is not None:
         out = out.where(t < _lit_ts(end))
+    if keys is not None:
+        kind = df.select(k.alias("k")).schema["k"].dataType
+        out = out.where(k.isin([F.lit(str(x)).cast(kind) for x in keys]) if keys else F.lit(False))
     cols = [k.cast("string").alias("series_key"), t.cast("timestamp_ntz").alias("ts"),
             nan_to_null(p.cast("double")).alias("price")]
     cols += [F.col(c) if isinstance(c, str) else c for c in extra]
-    out = out.select(*cols)
-    if keys is not None:
-        out = out.where(F.col("series_key").isin(list(keys)))
-    return out
+    return out.select(*cols)
+
+
+def in_time_order(prices: DataFrame, key: str = "series_key", ts: str = "ts") -> DataFrame:
+    """Rows ascending by key and time (a range-partitioned global sort, for output only)."""
+    return prices.orderBy(key, ts)
 
 
 def read_price_csv(spark: SparkSession, path: str, series_key: str = "default",
                    date_col: str = "Date", price_col: str = "Close") -> DataFrame:
     """A price CSV with a parsed date column (``Date,Close,...``).
 
-    Explicit schema, no inference.  Blank cells and the text ``NaN`` both come
+    All columns are read as text and cast, without inference.  Blank cells and the text ``NaN`` both come
     out as NULL.
     """
     raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
@@ -121,41 +128,44 @@ def empty_prices(spark: SparkSession) -> DataFrame:
 
 def with_fallback(spark: SparkSession, primary: Callable[[], DataFrame],
                   backup: Callable[[], DataFrame], start=None,
-                  empty: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """S3: primary source; on error **or** no rows use the backup trimmed to
-    ``start``; when the backup is missing or broken, a typed empty frame.
-
-    The emptiness probe is ``isEmpty()`` (a LIMIT 1 job), not a count.
+                  empty: Callable[[], DataFrame] | None = None, origin: str | None = None) -> DataFrame:
+    """S3: primary source; when it is missing **or** has no rows the backup trimmed
+    to ``start``; when the backup is missing too, a typed empty frame.
+
+    Missing means that Spark cannot analyse the source (no such path or table,
+    no schema): any other failure is raised, so a passing read error never
+    swaps the data set.  ``origin`` names a column that tells which source was
+    used (``primary`` or ``backup``).  The emptiness probe of the primary is a
+    LIMIT 1 job.
     """
-    empty = empty or (lambda: empty_prices(spark))
+    def told(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(origin, F.lit(name)) if origin else df
+
     try:
         df = primary()
         if not df.isEmpty():
-            return df
-    except Exception:  # noqa: BLE001 - any failure of the primary switches to the backup
+            return told(df, "primary")
+    except AnalysisException:
         pass
     try:
         df = backup()
-        if start is not None:
-            df = df.where(F.col("ts") >= _lit_ts(start))
-        df.isEmpty()  # surfaces a missing or unreadable backup here
-        return df
-    except Exception:  # noqa: BLE001 - a missing or broken backup gives the typed empty frame
-        return empty()
+    except AnalysisException:
+        return told((empty or (lambda: empty_prices(spark)))(), "empty")
+    return told(df.where(F.col("ts") >= _lit_ts(start)) if start is not None else df, "backup")
 
 
 # ---------------------------------------------------------------------------
 # Stand-in series on the driver-generated test tables
 # ---------------------------------------------------------------------------
 
-def lineitem_prices(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+def lineitem_prices(spark: SparkSession, sf_dir: str, start=None, end=None, keys=None) -> DataFrame:
     """Monthly-priced instruments: one series per ``l_partkey``; unit price
     ``l_extendedprice / l_quantity`` at ``l_shipdate``.  Tie columns
     ``(l_orderkey, l_linenumber)`` make the "first observation" deterministic."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return price_scan(li, "l_partkey", "l_shipdate",
                       F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
-                      start=start, end=end,
+                      start=start, end=end, keys=keys,
                       extra=[F.col("l_orderkey").alias("tie1"), F.col("l_linenumber").cast("bigint").alias("tie2")])
 
 

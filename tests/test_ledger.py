@@ -98,8 +98,40 @@ def test_cpi_newer_than_ledger(spark):
 def test_duplicate_cpi_period_rejected(spark):
     df = prices_df(spark, [("2024-03-02", 10.0)])
     cpi = cpi_df(spark, [("2024-03-01", 100.0), ("2024-03-01", 101.0)])
-    with pytest.raises(ValueError):
-        ledger.dca_ledger_cpi(periods.first_per_period(df), cpi)
+    with pytest.raises(Exception, match="duplicate periods"):
+        ledger.dca_ledger_cpi(periods.first_per_period(df), cpi).collect()
+
+
+def test_infinite_price_does_not_win_the_peak(spark):
+    """As pandas: units 0 at infinity, 0 * inf is NaN, and max skips it."""
+    from tallyspark.operators import kpi
+    df = prices_df(spark, [("2024-01-02", float("inf")), ("2024-02-02", 2.0)])
+    led = ledger.dca_ledger_fixed_rate(periods.first_per_period(df))
+    assert kpi.state_metrics(led).first()["portfolio_peak"] == 2000.0
+
+
+def test_plan_batch_equals_single_runs(spark):
+    import datetime as dt
+    from tallyspark.operators import backtest
+    from tallyspark.sources import prices as src
+    prices = src.lineitem_prices(spark, "/root/testdata/sf0.001")
+    rows = [(1, "7", 500.0, dt.datetime(1996, 2, 10), dt.datetime(1999, 1, 1), 0.03), (2, "7", 900.0, dt.datetime(1995, 1, 1), dt.datetime(2001, 1, 1), 0.0),
+            (3, "none", 900.0, dt.datetime(1995, 1, 1), dt.datetime(2001, 1, 1), 0.0)]
+    schema = "plan_id long, series_key string, amount double, start timestamp_ntz, end timestamp_ntz, annual double"
+    got = {r["plan_id"]: r for r in backtest.backtest(spark.createDataFrame(rows, schema), prices).collect()}
+    assert set(got) == {1, 2}
+    for plan, key, amount, start, end, annual in rows[:2]:
+        one = prices.where((F.col("series_key") == key) & (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+        want = kpi_row(ledger.dca_ledger_fixed_rate(periods.first_per_period(one), amount, annual))
+        assert all(math.isclose(got[plan][c], want[c], rel_tol=1e-12) for c in ("nominal", "real", "value"))
+    bad = spark.createDataFrame([(9, "7", 1.0, dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 1), 0.0)], schema)
+    with pytest.raises(Exception, match="start must be before end"):
+        backtest.backtest(bad, prices).collect()
+
+
+def kpi_row(led):
+    from tallyspark.operators import kpi
+    return kpi.kpi_snapshot(led).first()
 
 
 def test_empty_cpi_table(spark):

@@ -82,7 +82,7 @@ def test_knn_equals_brute_force_with_ties(spark, corpus, questions, k, metric, b
                                 "doc_id long, embedding array<float>")
     qdf = spark.createDataFrame([(100 + i, [float(x) for x in v]) for i, v in enumerate(questions)],
                                 "q_id long, embedding array<float>")
-    kw = {"max_broadcast_bytes": 16, "corpus_block_rows": 3} if blocked else {}
+    kw = {"question_blocks": 3} if blocked else {}
     got = vectors.knn(qdf, cdf, k=k, metric=metric, dim=4, **kw).toPandas()
     for qi, q in enumerate(questions):
         a = np.asarray(q, float)

