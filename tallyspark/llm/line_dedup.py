@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import NULL_KEY, arrow_batches, components, local_roots, written
@@ -47,6 +47,8 @@ SHIFT = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 #: White space around lines, for Python and for Spark's trim.
 SPACE = " \t\r\x0b\x0c"
+#: One match for each line that holds anything else.
+CONTENT = r"[^ \t\r\x0b\x0c\n][^\n]*"
 
 
 def line_key(line: str) -> int:
@@ -122,9 +124,10 @@ def verified_links(lines: list[str], tile: np.ndarray, similarity: float) -> lis
         return x
 
     two = tile.min() != tile.max()
+    ordered = size[order]
     for k, i in enumerate(order.tolist()):
         # larger sets up to the size from which the similarity cannot be reached
-        stop = np.searchsorted(size[order], size[i] / similarity + 1e-9, "right")
+        stop = np.searchsorted(ordered, size[i] / similarity + 1e-9, "right")
         for j in order[k + 1:stop].tolist():
             if two and tile[i] == tile[j]:
                 continue
@@ -134,11 +137,6 @@ def verified_links(lines: list[str], tile: np.ndarray, similarity: float) -> lis
     return [find(i) for i in range(len(lines))]
 
 
-def line_texts(text: Column) -> Column:
-    """All lines of a text, without the white space around them."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACE)))
-
-
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(doc_id, pos, line, bands)`` of each line; bands only where a batch sees the line first."""
     arrow_batches(docs.sparkSession)
@@ -195,20 +193,43 @@ def line_components(docs: DataFrame, seen: DataFrame, key: str, text: str, simil
               .groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("line", "at.doc_id", "at.pos"))
     places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "pos")).alias("want"))
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.col(text).alias("text"))
-    texts = (source.filter("text is not null").join(places, "doc_id")
-             .select(F.explode("want").alias("w"), line_texts(F.col("text")).alias("all"))
-             .select("w.line", F.expr("get(all, w.pos)").alias("text"))
+    # the wanted places are the small side: hashing them spares a sort of the texts
+    texts = (source.filter("text is not null").join(places.hint("shuffle_hash"), "doc_id")
+             .select(F.split(F.col("text"), "\n", -1).alias("all"), F.explode("want").alias("w"))
+             .select("w.line", F.trim(F.expr("get(all, w.pos)"), F.lit(SPACE)).alias("text"))
              .filter(F.xxhash64("text") == F.col("line"))
              .groupBy("line").agg(F.max("text").alias("text")))
+    names = ["band", "low", "high"]
 
-    def run(table: pa.Table) -> pa.Table:
-        lines, node = table.column("text").to_pylist(), table.column("line").to_numpy()
-        root = np.array(verified_links(lines, table.column("tile").to_numpy(), similarity), np.int64)
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": node[own], "v": node[root[own]]}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a group is a run of rows; its last rows may come with the next batch
+        group, lines, nodes, tiles, found = None, [], [], [], []
 
-    edges = (tiled.join(texts, "line").select("line", "tile", "text", "band", "low", "high")
-             .groupBy("band", "low", "high").applyInArrow(run, "u long, v long"))
+        def close():
+            if len(lines) > 1:
+                root = verified_links(lines, np.array(tiles), similarity)
+                found.extend((nodes[i], nodes[r]) for i, r in enumerate(root) if i != r)
+
+        for batch in batches:
+            for at, line, text, tile in zip(zip(*(batch.column(n).to_pylist() for n in names)),
+                                            *(batch.column(n).to_pylist() for n in ("line", "text", "tile"))):
+                if at != group:
+                    close()
+                    group, lines, nodes, tiles = at, [], [], []
+                lines.append(text)
+                nodes.append(line)
+                tiles.append(tile)
+            if found:
+                u, v = zip(*found)
+                found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        close()
+        if found:
+            u, v = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    grouped = tiled.join(texts, "line").select("line", "tile", "text", *names).repartition(*names).sortWithinPartitions(*names)
+    edges = grouped.mapInArrow(run, "u long, v long")
     return components(edges).select(F.col("node").alias("line"), "root")
 
 
@@ -227,7 +248,7 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     """Per document: ``n_lines`` with content, ``n_dropped`` and the ``dropped`` places; texts are not shuffled for it."""
     gone = dropped_lines(docs, key, text, similarity)
     whole = docs.select(F.col(key).cast("long").alias("doc_id"),
-                        F.size(F.filter(line_texts(F.coalesce(F.col(text), F.lit(""))), lambda x: x != "")).cast("long").alias("n_lines"))
+                        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(CONTENT)).cast("long").alias("n_lines"))
     gone = gone.withColumnRenamed("doc_id", "__key")
     return (whole.join(gone, F.coalesce("doc_id", F.lit(NULL_KEY)) == F.col("__key"), "left")
             .select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
