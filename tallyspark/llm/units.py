@@ -10,8 +10,9 @@ inside one.  A text without any safe boundary is one unit.
 
 Natural text repeats its units.  Arrow cuts a batch of texts and numbers its
 distinct units; the worker asks the library for each distinct one once and
-keeps the answer in a bounded table, which starts afresh when it is full.  Ids
-of whole texts are then gathered with numpy.  Units of characters whose class
+keeps the answer in a bounded table.  A full table becomes the old one, from
+which answers that are needed again are copied; the one before it is dropped.
+Ids of whole texts are gathered with numpy.  Units of characters whose class
 every regex engine agrees on are cut further, by the tokenizer's own pattern,
 into words for the library's model alone; all other units, and those with a
 special string, go through the whole tokenizer.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ import pyarrow.compute as pc
 
 from tallyspark.llm.common import process_cache
 
-#: Known units and words per worker, the longest one kept, UTF-8 bytes cut at once and per call of the library.
-CACHE_UNITS, CACHED_CHARS, CUT_BYTES, CALL_BYTES = 700_000, 64, 4 << 20, 1 << 20
+#: Units and words of a full table, the longest plain unit, UTF-8 bytes cut at once and per call of the library, words per call.
+TABLE_UNITS, PLAIN_CHARS, CUT_BYTES, CALL_BYTES, CALL_WORDS = 500_000, 64, 4 << 20, 1 << 20, 20_000
 #: Separator between units.
 MARK = "\x01"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -89,32 +90,31 @@ def cut_units(texts: pa.Array) -> pa.Array:
 def gather(begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """``ids[b:b + n]`` for each ``b, n``, one after another."""
     ends = np.cumsum(size)
-    return ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    return ids[np.repeat((begin - (ends - size)).astype(kind), size) + np.arange(total, dtype=kind)]
 
 
 class Table:
-    """Ids of strings: a slot for each string, its number of ids, and all ids in slot order."""
+    """Ids of strings: a slot for each string, the begin and number of its ids, and all ids."""
 
     def __init__(self):
         self.slots: dict[str, int] = {}
-        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.begins, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def find(self, strings: list[str], ask) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and number of the ids of each string; ``ask(new strings)`` gives sizes and ids."""
-        slots = self.slots
-        at = np.fromiter(map(slots.get, strings, repeat(-1)), np.int64, len(strings))
-        new = [strings[i] for i in np.flatnonzero(at < 0)]
-        if new:
-            new = list(dict.fromkeys(new))
-            sizes, ids = ask(new)
-            slots.update(zip(new, range(len(slots), len(slots) + len(new))))
-            self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
-            at = np.fromiter(map(slots.__getitem__, strings), np.int64, len(strings))
-        return (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+    def add(self, strings: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New distinct strings with their ids one after another."""
+        self.slots.update(zip(strings, range(len(self.slots), len(self.slots) + len(strings))))
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def locate(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and number of the ids of strings that the table holds."""
+        at = np.array(list(map(self.slots.__getitem__, strings)), np.int64)
+        return self.begins[at], self.sizes[at]
 
-    def trimmed(self) -> Table:
-        """Itself, or an empty table if it is full or holds long strings, which serve one batch only."""
-        return Table() if len(self.slots) > CACHE_UNITS or len(self.ids) > 16 * CACHE_UNITS else self
+    def full(self) -> bool:
+        return len(self.slots) > TABLE_UNITS or len(self.ids) > 16 * TABLE_UNITS
 
 
 class UnitEncoder:
@@ -128,52 +128,71 @@ class UnitEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.word = Tokenizer(self.whole.model)
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
+        # letters alone need no closer look, unless a special string is such a word
+        self.quick = not any(s.isalpha() for s in specials)
         self.letters = {**byte_letters(), 1: MARK}
-        self.units, self.words = Table(), Table()
+        self.table, self.old = Table(), Table()
 
-    def _ask(self, tokenizer, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ask(self, tokenizer, groups: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         sizes, ids = [], [np.zeros(0, "<u4")]
-        for group in byte_groups(strings):
+        for group in groups:
             found = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
             sizes += map(len, found)
-            ids.append(np.fromiter(chain.from_iterable(found), "<u4"))
+            ids.append(np.array(list(chain.from_iterable(found)), "<u4"))
         return np.array(sizes, np.int64), np.concatenate(ids)
 
     def _ask_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         shown = MARK.join(words).encode().decode("latin-1").translate(self.letters).split(MARK)
-        return self._ask(self.word, shown)
-
-    def _ask_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Plain units by their words, the others by the whole tokenizer; in order."""
-        words, numbers, plain = [], [], []
-        for u in units:
-            easy = len(u) <= CACHED_CHARS and PLAIN_UNIT.fullmatch(u) is not None
-            if easy and any(s in u for s in self.specials):
-                easy = False
-            plain.append(easy)
-            if easy:
-                if u.isalpha() or u[0] == " " and u[1:].isalpha():
-                    words.append(u)
-                    numbers.append(1)
-                else:
-                    found = BYTE_LEVEL.findall(u)
-                    words += found
-                    numbers.append(len(found))
-        self.words = self.words.trimmed()
-        begin, size = self.words.find(words, self._ask_words)
-        word_ends = np.concatenate([[0], np.cumsum(size)])
-        easy_sizes = np.diff(word_ends[np.concatenate([[0], np.cumsum(np.array(numbers, np.int64))])])
-        easy_ids = gather(begin, size, self.words.ids)
-        plain = np.array(plain, bool)
-        if plain.all():
-            return easy_sizes, easy_ids
-        other_sizes, other_ids = self._ask(self.whole, [u for u, easy in zip(units, plain) if not easy])
-        sizes, starts = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
-        sizes[plain], sizes[~plain] = easy_sizes, other_sizes
-        starts[plain] = np.cumsum(easy_sizes) - easy_sizes
-        starts[~plain] = len(easy_ids) + np.cumsum(other_sizes) - other_sizes
-        return sizes, gather(starts, sizes, np.concatenate([easy_ids, other_ids]))
+        return self._ask(self.word, (shown[i:i + CALL_WORDS] for i in range(0, len(shown), CALL_WORDS)))
+
+    def _recall(self, strings: list[str]) -> list[str]:
+        """Copy what the old table knows of these strings; the others."""
+        known = [s for s in strings if s in self.old.slots]
+        if not known:
+            return strings
+        begin, size = self.old.locate(known)
+        self.table.add(known, size, gather(begin, size, self.old.ids))
+        return [s for s in strings if s not in self.old.slots]
+
+    def _learn(self, units: list[str]) -> None:
+        """Add new distinct units: plain ones by their words, which are units as well, others by the whole tokenizer."""
+        words, cuts, other = [], [], []
+        quick, fits, special, cut = self.quick, PLAIN_UNIT.fullmatch, self.special.search, BYTE_LEVEL.findall
+        for u in self._recall(units):
+            if len(u) > PLAIN_CHARS:
+                other.append(u)
+            elif quick and u.isascii() and (u[1:].isalpha() and u[0] == " " or u.isalpha()):
+                words.append(u)
+            elif fits(u) and not special(u):
+                found = cut(u)
+                words += found
+                if len(found) > 1:
+                    cuts.append((u, found))
+            else:
+                other.append(u)
+        slots = self.table.slots
+        new = self._recall([w for w in dict.fromkeys(words) if w not in slots])
+        if new:
+            self.table.add(new, *self._ask_words(new))
+        if cuts:
+            begin, size = self.table.locate(list(chain.from_iterable(w for _, w in cuts)))
+            ends = np.concatenate([[0], np.cumsum(size)])
+            last = np.cumsum([len(w) for _, w in cuts])
+            self.table.add([u for u, _ in cuts], np.diff(ends[np.concatenate([[0], last])]), gather(begin, size, self.table.ids))
+        if other:
+            self.table.add(other, *self._ask(self.whole, byte_groups(other)))
+
+    def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and number of the ids of each unit, and the ids they point into."""
+        if self.table.full():
+            self.old, self.table = self.table, Table()
+        slots = self.table.slots
+        new = list(dict.fromkeys(u for u in units if u not in slots))
+        if new:
+            self._learn(new)
+        return *self.table.locate(units), self.table.ids
 
     def encode(self, texts: pa.Array, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Token counts of the texts (nulls: empty), and all ids one after another."""
@@ -194,9 +213,7 @@ class UnitEncoder:
         lists = cut_units(texts)
         numbered = lists.flatten().dictionary_encode()
         index = numbered.indices.to_numpy()
-        begin, size = self.units.find(numbered.dictionary.to_pylist(), self._ask_units)
-        ids = self.units.ids
-        self.units = self.units.trimmed()
+        begin, size, ids = self.lookup(numbered.dictionary.to_pylist())
         each = size[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])

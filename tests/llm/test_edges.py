@@ -44,7 +44,7 @@ _shared = {}
 
 
 def test_full_tables_start_afresh(tokenizer, monkeypatch):
-    monkeypatch.setattr(units, "CACHE_UNITS", 3)
+    monkeypatch.setattr(units, "TABLE_UNITS", 3)
     coder = units.UnitEncoder(BPE)
     for text in ("a b c d e f", "g h i j", "a b " + "w" * 200):
         assert coder.encode(pa.array([text]))[1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
