@@ -38,7 +38,7 @@ from tallyspark.llm.units import encoder
 
 END_ID = 2
 #: Ids of a shard at least; rounds at most, new rules in a round at most, and the count from which a pair is worth a rule.
-SHARD, ROUNDS, ROUND_RULES, LEAST = 1 << 20, 6, 4096, 8
+SHARD, ROUNDS, ROUND_RULES, LEAST = 1 << 18, 6, 4096, 8
 MAGIC = b"RPG1"
 
 SHARDS = "block long, shard long, doc_ids array<long>, n_tokens long, n_symbols long, payload binary"
@@ -65,8 +65,8 @@ def repair(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round: i
         at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
         hit = (chosen[at] == pairs) & ~last[:-1]
         # of neighbouring hits, every other one from the left
-        place = np.arange(len(hit))
-        run = place - np.maximum.accumulate(np.where(hit, -1, place))
+        place = np.arange(len(hit), dtype=np.int32)
+        run = place - np.maximum.accumulate(np.where(hit, np.int32(-1), place))
         hit &= run % 2 == 1
         where = np.flatnonzero(hit)
         used, rule = np.unique(at[where], return_inverse=True)
