@@ -65,8 +65,17 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW, overh
     ``window`` apart; ``costs`` their penalties.
     """
     p, c = places.tolist(), costs.tolist()
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    where = {x: i for i, x in enumerate(p)}
+    # earlier places at the distance of a power of two, by place
+    number = np.full(p[-1] + 1, -1, np.int64)
+    number[places] = np.arange(len(p))
+    pairs = []
+    for x in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+        late = np.flatnonzero(places >= x)
+        early = number[places[late] - x]
+        pairs.append(np.stack([late, early])[:, early >= 0])
+    late, early = np.concatenate(pairs, 1)
+    order = np.argsort(late, kind="stable")
+    powers, first = early[order].tolist(), np.searchsorted(late[order], np.arange(len(p) + 1)).tolist()
     best, back = [0.0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
     key = [0.0] * len(p)  # best[i] + p[i]
@@ -76,9 +85,8 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW, overh
             queue.popleft()
         i = queue[0]
         cost = key[i] + window - at
-        for x in powers:
-            h = where.get(at - x)
-            if h is not None and best[h] < cost:
+        for h in powers[first[j]:first[j + 1]]:
+            if best[h] < cost:
                 cost, i = best[h], h
         best[j], back[j] = cost + overhead + c[j], i
         k = key[j] = best[j] + at
