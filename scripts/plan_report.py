@@ -4,8 +4,8 @@
 
 Counts exchanges (shuffles), broadcasts, aggregate kinds, window operators and
 Python stages in the executed-plan text, and lists each scan's pushed filters
-and read schema.  Query construction runs its small probes (CPI checkpoint,
-bounded question collect) but the plans themselves are not executed.
+and read schema.  Query construction collects a block of questions and numbers
+transcripts; the plans themselves are not executed.
 """
 
 from __future__ import annotations
