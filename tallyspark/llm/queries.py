@@ -98,12 +98,12 @@ WITH RECURSIVE pref AS (
          (('0x' || substr(md5(name), 17, 16))::UBIGINT % 4092)::BIGINT + 1 AS skip
   FROM (SELECT i, 'shard-' || lpad(i::VARCHAR, 3, '0') AS name FROM range(24) t(i))),
 orders AS (
-  SELECT i, list((first_slot + j * skip) % 4093 ORDER BY j) AS slots FROM pref, range(4093) r(j) GROUP BY i),
+  SELECT i, list(((first_slot + j * skip) % 4093)::SMALLINT ORDER BY j) AS slots FROM pref, range(4093) r(j) GROUP BY i),
 fill AS (
-  SELECT n, 0::BIGINT AS turn, list_transform(range(4093), x -> -1::BIGINT) AS owner FROM (VALUES (24), (23)) v(n)
+  SELECT n, 0::BIGINT AS turn, list_transform(range(4093), lambda x: -1::TINYINT) AS owner FROM (VALUES (24), (23)) v(n)
   UNION ALL
-  SELECT n, turn + 1, list_concat(list_concat(owner[1:slot], [turn % n]), owner[slot + 2:])
-  FROM (SELECT f.n, f.turn, f.owner, list_filter(o.slots, s -> f.owner[s + 1] < 0)[1] AS slot
+  SELECT n, turn + 1, list_concat(list_concat(owner[1:slot], [(turn % n)::TINYINT]), owner[slot + 2:])
+  FROM (SELECT f.n, f.turn, f.owner, list_filter(o.slots, lambda s: f.owner[s + 1] < 0)[1] AS slot
         FROM fill f JOIN orders o ON o.i = f.turn % f.n WHERE f.turn < 4093)),
 tables AS (
   SELECT n, slot - 1 AS slot, owner[slot] AS shard FROM fill, range(1, 4094) r(slot) WHERE turn = 4093),
