@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import OrderedBlocks, arrow_batches, process_cache
-from tallyspark.llm.units import encoder
+from tallyspark.llm.units import TOKEN_ROWS, encoder
 
 WINDOW, END_ID = 2048, 1
 #: Costs in tokens: a cut after a sentence, a cut elsewhere, and each sequence.
@@ -132,7 +132,7 @@ def pack_chunk(keys: list, counts: list[int], ids: np.ndarray, closes: np.ndarra
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW,
          end_id: int = END_ID, chunk: int = CHUNK) -> DataFrame:
     """Pieces of all documents: which stretch of ids stands where in which sequence."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, TOKEN_ROWS)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = OrderedBlocks(narrow)
     dealt = blocks.deal(narrow, blocks.order(), F.col("text"))

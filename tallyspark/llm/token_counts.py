@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import arrow_batches
-from tallyspark.llm.units import encoder
+from tallyspark.llm.units import TOKEN_ROWS, encoder
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                  limit: int = 1024) -> DataFrame:
     """``keep`` columns, ``n_bytes``, ``n_tokens`` and ``over_limit`` of each row."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, TOKEN_ROWS)
 
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:

@@ -33,6 +33,8 @@ from tallyspark.llm.common import process_cache
 
 #: Units and words of a full table, the longest plain unit, UTF-8 bytes cut at once and per call of the library, words per call.
 TABLE_UNITS, PLAIN_CHARS, CUT_BYTES, CALL_BYTES, CALL_WORDS = 500_000, 64, 4 << 20, 1 << 20, 20_000
+#: Rows of an Arrow batch (its bytes are bounded as well): units that repeat within it are looked up once.
+TOKEN_ROWS = 2048
 #: Separator between units.
 MARK = "\x01"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -110,7 +112,7 @@ class Table:
 
     def locate(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Begin and number of the ids of strings that the table holds."""
-        at = np.array(list(map(self.slots.__getitem__, strings)), np.int64)
+        at = np.fromiter(map(self.slots.__getitem__, strings), np.int64, len(strings))
         return self.begins[at], self.sizes[at]
 
     def full(self) -> bool:
@@ -149,6 +151,8 @@ class UnitEncoder:
 
     def _recall(self, strings: list[str]) -> list[str]:
         """Copy what the old table knows of these strings; the others."""
+        if not self.old.slots:
+            return strings
         known = [s for s in strings if s in self.old.slots]
         if not known:
             return strings
@@ -185,11 +189,11 @@ class UnitEncoder:
             self.table.add(other, *self._ask(self.whole, byte_groups(other)))
 
     def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and number of the ids of each unit, and the ids they point into."""
+        """Begin and number of the ids of each of some distinct units, and the ids they point into."""
         if self.table.full():
             self.old, self.table = self.table, Table()
         slots = self.table.slots
-        new = list(dict.fromkeys(u for u in units if u not in slots))
+        new = [u for u in units if u not in slots]
         if new:
             self._learn(new)
         return *self.table.locate(units), self.table.ids
@@ -213,7 +217,7 @@ class UnitEncoder:
         lists = cut_units(texts)
         numbered = lists.flatten().dictionary_encode()
         index = numbered.indices.to_numpy()
-        begin, size, ids = self.lookup(numbered.dictionary.to_pylist())
+        begin, size, ids = self.lookup(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         each = size[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
