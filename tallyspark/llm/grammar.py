@@ -34,12 +34,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import OrderedBlocks, arrow_batches
-from tallyspark.llm.units import encoder
+from tallyspark.llm.units import TOKEN_ROWS, encoder
 
 END_ID = 2
 #: Ids of a shard at least; rounds at most, new rules in a round at most, and the count from which a pair is worth a rule.
 SHARD, ROUNDS, ROUND_RULES, LEAST = 1 << 18, 6, 4096, 8
 MAGIC = b"RPG1"
+#: Odd factor whose products' high bits serve as a hash.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+#: Payloads are long: row groups of few shards bound what a reader of the files holds, and pages what the writer does.
+ROW_GROUPS = {"parquet.block.row.count.limit": "16", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 SHARDS = "block long, shard long, doc_ids array<long>, n_tokens long, n_symbols long, payload binary"
 
@@ -56,20 +61,27 @@ def repair(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round: i
         if len(symbols) < 2:
             break
         pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        kinds, counts = np.unique(pairs[~last[:-1]], return_counts=True)
-        good = np.flatnonzero(counts >= least)
-        if not len(good):
+        free = pairs[~last[:-1]]
+        free.sort()
+        # in ascending order, a pair seen ``least`` times equals the one ``least - 1`` places on
+        reach = max(0, len(free) - least + 1)
+        kinds = np.unique(free[:reach][free[:reach] == free[len(free) - reach:]])
+        if not len(kinds):
             break
-        good = np.sort(good[np.argsort(-counts[good], kind="stable")[:per_round]])
-        chosen = kinds[good]
-        at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = (chosen[at] == pairs) & ~last[:-1]
+        counts = np.searchsorted(free, kinds, "right") - np.searchsorted(free, kinds)
+        chosen = kinds[np.sort(np.argsort(-counts, kind="stable")[:per_round])]
+        # a table of hashes leaves few places to search
+        wanted = np.zeros(1 << 16, bool)
+        wanted[chosen * MIX >> np.uint64(48)] = True
+        place = np.flatnonzero(wanted[pairs * MIX >> np.uint64(48)] & ~last[:-1])
+        at = np.minimum(np.searchsorted(chosen, pairs[place]), len(chosen) - 1)
+        hit = chosen[at] == pairs[place]
+        place, at = place[hit], at[hit]
         # of neighbouring hits, every other one from the left
-        place = np.arange(len(hit), dtype=np.int32)
-        run = place - np.maximum.accumulate(np.where(hit, np.int32(-1), place))
-        hit &= run % 2 == 1
-        where = np.flatnonzero(hit)
-        used, rule = np.unique(at[where], return_inverse=True)
+        nth = np.arange(len(place))
+        run = nth - np.maximum.accumulate(np.where(np.diff(place, prepend=-2) > 1, nth, 0))
+        where, at = place[run % 2 == 0], at[run % 2 == 0]
+        used, rule = np.unique(at, return_inverse=True)
         symbols[where] = np.uint64(base + len(sides)) + rule.astype(np.uint64)
         sides = np.concatenate([sides, np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1)])
         last[where] = last[where + 1]
@@ -150,7 +162,7 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text",
                  end_id: int = END_ID, shard_ids: int = SHARD) -> None:
     """Encode all documents in key order and write them as shards under ``folder``."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, TOKEN_ROWS)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = OrderedBlocks(narrow)
     dealt = blocks.deal(narrow, blocks.order(), F.col("text"))
@@ -188,7 +200,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_i
         if keys:
             yield close()
 
-    dealt.mapInArrow(run, SHARDS).write.parquet(folder)
+    dealt.mapInArrow(run, SHARDS).write.options(**ROW_GROUPS).parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
