@@ -37,8 +37,8 @@ from tallyspark.llm.common import OrderedBlocks, arrow_batches
 from tallyspark.llm.units import TOKEN_ROWS, encoder
 
 END_ID = 2
-#: Ids of a shard at least; rounds at most, new rules in a round at most, and the count from which a pair is worth a rule.
-SHARD, ROUNDS, ROUND_RULES, LEAST = 1 << 18, 6, 4096, 8
+#: Ids of a shard at least; new rules in a round at most, and the count from which a pair is worth a rule.
+SHARD, ROUND_RULES, LEAST = 1 << 18, 4096, 8
 MAGIC = b"RPG1"
 #: Odd factor whose products' high bits serve as a hash.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,46 +49,97 @@ ROW_GROUPS = {"parquet.block.row.count.limit": "16", "parquet.page.size.row.chec
 SHARDS = "block long, shard long, doc_ids array<long>, n_tokens long, n_symbols long, payload binary"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round: int = ROUND_RULES, least: int = LEAST):
+def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, least: int = LEAST):
     """Grammar of ``ids``: symbols, whether each ends a document, rule sides and the first nonterminal.
 
-    ``last`` marks the ids that end a document: no pair starts with one.
+    ``last`` marks the ids that end a document: no pair starts with one.  In the
+    result no pair of neighbours occurs ``least`` times without overlap.
     """
+    n = len(ids)
+    base = int(ids.max()) + 1 if n else 0
     symbols, last = ids.astype(np.uint64), last.copy()
-    base = int(symbols.max()) + 1 if len(symbols) else 0
-    sides = np.zeros((0, 2), np.uint64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        free = pairs[~last[:-1]]
-        free.sort()
+    # replaced symbols keep their places; links lead over those that went
+    after, before, gone = np.arange(1, n + 1), np.arange(-1, n - 1), np.zeros(n, bool)
+    last[n - 1:] = True
+    sides = [np.zeros((0, 2), np.uint64)]
+    rules = 0
+
+    def pairs(at: np.ndarray) -> np.ndarray:
+        return (symbols[at] << np.uint64(32)) | symbols[after[at]]
+
+    def every_other(place: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+        """Of occurrences that overlap (and are of one kind), every other one from the left."""
+        joined = np.zeros(len(place), bool)
+        joined[1:] = after[place[:-1]] == place[1:]
+        if kind is not None:
+            joined[1:] &= kind[1:] == kind[:-1]
+        nth = np.arange(len(place))
+        return (nth - np.maximum.accumulate(np.where(joined, 0, nth))) % 2 == 0
+
+    def frequent(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds of pair seen ``least`` times at ``spots``, the places of these and their kinds' numbers."""
+        found = pairs(spots)
+        order = np.sort(found)
         # in ascending order, a pair seen ``least`` times equals the one ``least - 1`` places on
-        reach = max(0, len(free) - least + 1)
-        kinds = np.unique(free[:reach][free[:reach] == free[len(free) - reach:]])
+        reach = max(0, len(order) - least + 1)
+        kinds = np.unique(order[:reach][order[:reach] == order[len(order) - reach:]])
         if not len(kinds):
-            break
-        counts = np.searchsorted(free, kinds, "right") - np.searchsorted(free, kinds)
-        chosen = kinds[np.sort(np.argsort(-counts, kind="stable")[:per_round])]
+            return kinds, spots[:0], spots[:0]
         # a table of hashes leaves few places to search
         wanted = np.zeros(1 << 16, bool)
-        wanted[chosen * MIX >> np.uint64(48)] = True
-        place = np.flatnonzero(wanted[pairs * MIX >> np.uint64(48)] & ~last[:-1])
-        at = np.minimum(np.searchsorted(chosen, pairs[place]), len(chosen) - 1)
-        hit = chosen[at] == pairs[place]
-        place, at = place[hit], at[hit]
-        # of neighbouring hits, every other one from the left
-        nth = np.arange(len(place))
-        run = nth - np.maximum.accumulate(np.where(np.diff(place, prepend=-2) > 1, nth, 0))
-        where, at = place[run % 2 == 0], at[run % 2 == 0]
-        used, rule = np.unique(at, return_inverse=True)
-        symbols[where] = np.uint64(base + len(sides)) + rule.astype(np.uint64)
-        sides = np.concatenate([sides, np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1)])
-        last[where] = last[where + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[where + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    return symbols.astype("<u4"), last, sides.astype("<u4"), base
+        wanted[kinds * MIX >> np.uint64(48)] = True
+        few = np.flatnonzero(wanted[found * MIX >> np.uint64(48)])
+        at = np.minimum(np.searchsorted(kinds, found[few]), len(kinds) - 1)
+        hit = kinds[at] == found[few]
+        return kinds, spots[few[hit]], at[hit]
+
+    kinds, place, at = frequent(np.flatnonzero(~last))
+    while len(place):
+        # a pair's occurrences all arise in one round and only become fewer later
+        counts = np.bincount(at[every_other(place, at)], minlength=len(kinds))
+        ranked = np.argsort(-counts, kind="stable")[:min(per_round, int((counts >= least).sum()))]
+        stay = counts[at] >= least
+        place, at = place[stay], at[stay]
+        if not len(place):
+            break
+        while True:
+            chosen = np.zeros(len(kinds), bool)
+            chosen[ranked] = True
+            mine = chosen[at]
+            where, rule = place[mine], at[mine]
+            first = every_other(where)
+            where, rule = where[first], rule[first]
+            # pairs that lose most occurrences to others wait; the first of a single one loses none
+            used = 2 * np.bincount(rule, minlength=len(kinds)) >= least
+            if used.any():
+                break
+            ranked = ranked[:max(1, len(ranked) // 2)]
+        where, rule = where[used[rule]], rule[used[rule]]
+        number = np.cumsum(used) - 1
+        other = after[where]
+        symbols[where] = (base + rules + number[rule]).astype(np.uint64)
+        sides.append(np.stack([kinds[used] >> np.uint64(32), kinds[used] & np.uint64(0xFFFFFFFF)], 1))
+        rules += int(used.sum())
+        last[where] = last[other]
+        gone[other] = True
+        after[where] = after[other]
+        right = after[where]
+        inner = right < n
+        before[right[inner]] = where[inner]
+        # pairs beside a new symbol are new pairs; the others stand or went
+        touched = np.zeros(n, bool)
+        touched[where] = True
+        touched[before[where][before[where] >= 0]] = True
+        spots = np.flatnonzero(touched & ~last & ~gone)
+        keep = ~(touched[place] | gone[place])
+        place, at = place[keep], at[keep]
+        fresh, there, which = frequent(spots)
+        left, at = np.unique(at, return_inverse=True)
+        place, at = np.concatenate([place, there]), np.concatenate([at, which + len(left)])
+        kinds = np.concatenate([kinds[left], fresh])
+        order = np.argsort(place, kind="stable")
+        place, at = place[order], at[order]
+    return symbols[~gone].astype("<u4"), last[~gone], np.concatenate(sides).astype("<u4"), base
 
 
 def expansion_lengths(sides: np.ndarray, base: int) -> np.ndarray:
@@ -125,15 +176,20 @@ class Shard:
         self.starts = np.cumsum(self.doc_symbols, dtype=np.int64) - self.doc_symbols
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids below some symbols: nonterminals open level by level."""
-        while len(big := np.flatnonzero(symbols >= self.base)):
-            size = np.ones(len(symbols), np.int64)
-            size[big] = 2
-            out = np.repeat(symbols, size)
-            at = (np.cumsum(size) - size)[big]
-            out[at], out[at + 1] = self.sides[symbols[big] - self.base].T
-            symbols = out
-        return symbols
+        """All ids below some symbols: each nonterminal opens once, level by level."""
+        size = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.base
+        size[rule] = self.lengths[symbols[rule] - self.base]
+        out = np.empty(int(size.sum()), "<u4")
+        at = np.cumsum(size) - size
+        while len(symbols):
+            rule = symbols >= self.base
+            out[at[~rule]] = symbols[~rule]
+            at, (a, b) = at[rule], self.sides[symbols[rule] - self.base].T
+            size, big = np.ones(len(a), np.int64), a >= self.base
+            size[big] = self.lengths[a[big] - self.base]
+            symbols, at = np.concatenate([a, b]), np.concatenate([at, at + size])
+        return out
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.starts[i]:self.starts[i] + self.doc_symbols[i]])

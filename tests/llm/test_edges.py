@@ -305,3 +305,37 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
             docs = common.written(out, name)
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
         assert (pieces.count() > 0) == (docs.count() > 0)
+
+
+def most_frequent(symbols, last):
+    """The largest number of places without overlap that one pair of neighbours has."""
+    seen, at = collections.Counter(), {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if not last[i] and at.get(pair, -2) < i - 1:
+            at[pair] = i
+            seen[pair] += 1
+    return max(seen.values(), default=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(3, 5), max_size=60), min_size=1, max_size=8), st.integers(2, 4), st.integers(1, 4))
+def test_repair_leaves_no_frequent_pair(texts, least, per_round):
+    ids = np.array([i for t in texts for i in [*t, 2]], "<u4")
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum([len(t) + 1 for t in texts]) - 1] = True
+    symbols, ends, sides, base = grammar.repair(ids, last, per_round=per_round, least=least)
+    assert most_frequent(symbols.tolist(), ends.tolist()) < least
+    assert all(max(pair) < base + i for i, pair in enumerate(sides.tolist()))
+
+
+def test_repair_shrinks_long_copies():
+    """Copies of 3000 ids become few symbols each, whatever the number of rounds it takes."""
+    copy = np.random.default_rng(5).integers(3, 50_000, 3000)
+    ids, counts = np.tile(np.append(copy, 2), 20).astype("<u4"), [3001] * 20
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(counts) - 1] = True
+    symbols, ends, _, _ = grammar.repair(ids, last)
+    assert most_frequent(symbols.tolist(), ends.tolist()) < grammar.LEAST and len(symbols) == 20
+    shard = grammar.Shard(grammar.encode_shard(ids, counts))
+    assert all(np.array_equal(x, ids[:3001]) for x in shard.documents())
+    assert [shard.token(7, j) for j in (0, 1, 1500, 2999, 3000)] == [int(ids[j]) for j in (0, 1, 1500, 2999, 3000)]
