@@ -202,7 +202,7 @@ def _embeddings(spark, sf):
 def _knn_graph(spark, sf, metric):
     e = _embeddings(spark, sf)
     nb = vectors.knn(e.withColumnRenamed("vec_id", "q_id"), e, k=vectors.DEFAULT_K, metric=metric,
-                     q_keys=["q_id"], d_key="vec_id", exclude_self=True, dim=64)
+                     q_keys=["q_id"], d_key="vec_id", exclude_self=True, dim=64, question_blocks=None)
     return nb
 
 
@@ -223,7 +223,7 @@ def _question_vectors(spark, sf):
 def q_knn_small_corpus(spark, sf):
     idx = retrieval.index_of(_benchmark(spark, sf), d_key="item_id")
     return vectors.knn(_question_vectors(spark, sf), idx, k=SMALL_CORPUS_K, q_keys=["conv_id", "turn"],
-                       d_key="item_id")
+                       d_key="item_id", question_blocks=None)
 
 
 def q_context_concat(spark, sf):
