@@ -14,6 +14,8 @@ FAILURE_PREFIX = "Sin respuesta por un error: "
 # Turns per first-level chunk when a transcript is rendered (bounds the size of
 # every collect_list; see ``replay``).
 REPLAY_CHUNK = 1024
+#: Bytes of a conversation that may stand in one row.
+REPLAY_BYTES = 64 * 1024 * 1024
 
 
 def start_sessions(conv_ids: DataFrame, greeting: str = DEFAULT_GREETING) -> DataFrame:
@@ -72,8 +74,8 @@ def replay(transcript: DataFrame, sep: str = "\n", chunked: bool = True) -> Data
     conversation, for conversations known to be short.  Two levels, so that no single ``collect_list`` holds more
     than ``REPLAY_CHUNK`` lines: turns are first joined per (conversation,
     chunk), then the chunks per conversation.  The result row still holds the
-    whole conversation, so this form is for conversations whose text fits in
-    one row.
+    whole conversation, so bytes are counted first: a conversation beyond
+    ``REPLAY_BYTES`` is an error before any chunks are gathered.
 
     ``chunked=True`` (default): ``(conv_id, chunk, n_turns, transcript)``, one row per
     (conversation, block of ``REPLAY_CHUNK`` turns) -- every group and every
@@ -90,7 +92,11 @@ def replay(transcript: DataFrame, sep: str = "\n", chunked: bool = True) -> Data
     if chunked:
         return chunks.select("conv_id", F.col("_chunk").alias("chunk"), F.col("_n").alias("n_turns"),
                              F.col("_text").alias("transcript"))
-    return (chunks.groupBy("conv_id")
+    sizes = chunks.groupBy("conv_id").agg(F.sum(F.octet_length("_text") + F.lit(len(sep.encode()))).alias("bytes"))
+    most = sizes.agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("most")).scalar()
+    error = F.concat(F.lit("a conversation holds "), most.cast("string"), F.lit(f" bytes, at most {REPLAY_BYTES} go in one row: replay it chunked"))
+    whole = chunks.withColumn("_text", F.when(most <= REPLAY_BYTES, F.col("_text")).otherwise(F.raise_error(error).cast("string")))
+    return (whole.groupBy("conv_id")
             .agg(F.sum("_n").alias("n_turns"),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_text"))),
                                           lambda x: x["_text"]), sep).alias("transcript")))
