@@ -143,15 +143,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     A row without a key stays only where its whole group has none.
     """
-    prints = written(fingerprints(docs, key, text, width), "simhash")
-    groups = print_groups(prints, radius)
-    stay = (prints.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("fp").alias("__fp"), F.coalesce("doc_id", F.lit(NULL_KEY)).alias("__key")).distinct())
     arrow_batches(docs.sparkSession)
-    rows = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
-    # keys tell rows apart, except rows without one: only they need their fingerprint again
-    with_key = (rows.filter(F.col(key).isNotNull()).join(stay.drop("__fp").distinct(), "__key", "left_semi")
-                .dropDuplicates(["__key"]).drop("__key"))
-    without = rows.filter(F.col(key).isNull()).withColumn("__fp", print_udf(width)(text))
-    without = without.join(stay, ["__fp", "__key"], "left_semi").dropDuplicates(["__fp"]).drop("__fp", "__key")
-    return with_key.unionByName(without)
+    # a key alone does not tell rows apart: the fingerprint goes along with its row
+    rows = written(docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
+                   .withColumn("__fp", print_udf(width)(text)), "simhash")
+    prints = rows.select(F.col(key).cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
+    stay = (prints.join(print_groups(prints, radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("fp").alias("__fp"), F.coalesce("doc_id", F.lit(NULL_KEY)).alias("__key")).distinct())
+    names = ["__fp", "__key"]
+    return rows.join(stay, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
