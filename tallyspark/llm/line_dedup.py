@@ -15,14 +15,16 @@ set of ``SHINGLE``-character shingles (a shorter line is one shingle).
    pair that is not joined yet is verified by exact Jaccard similarity of the
    shingle sets (at least ``SIMILARITY``).  Groups give spanning forests.
 4. ``components`` (a distributed union-find) joins them.  Of all occurrences of
-   the lines of a component the first one, by (doc_id, position), stays.
+   the lines of a component the first one, by (doc_id, text hash, position),
+   stays.
 
 Results: ``dropped_lines`` gives per document the places of its lines that go;
 ``dedup_lines`` the documents without them.  A document all of whose lines go
-keeps an empty text.  Null texts have no line and stay null; documents that
-share a ``doc_id`` count as one for the order, and what is dropped at a place
-is dropped in each of them, so equal rows stay equal; a null ``doc_id`` comes
-first.  Empty tables give no rows.
+keeps an empty text.  Null texts have no line and stay null.  A document is a
+distinct (doc_id, text): rows that share a ``doc_id``, or have none, are cleaned
+each for itself, in the order of their texts' 64-bit hashes; equal rows are one
+document and stay equal; a null ``doc_id`` comes first.  Empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import NULL_KEY, arrow_batches, components, local_roots, written
@@ -51,6 +53,11 @@ SPACE = " \t\r\x0b\x0c"
 CONTENT = r"[^ \t\r\x0b\x0c\n][^\n]*"
 
 
+def row_hash(text: str) -> Column:
+    """Tells texts with the same ``doc_id`` apart."""
+    return F.xxhash64(F.col(text))
+
+
 def line_key(line: str) -> int:
     """Spark's ``xxhash64`` of the line."""
     import xxhash
@@ -138,16 +145,17 @@ def verified_links(lines: list[str], tile: np.ndarray, similarity: float) -> lis
 
 
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(doc_id, pos, line, bands)`` of each line; bands only where a batch sees the line first."""
+    """``(doc_id, row, pos, line, bands)`` of each line, ``row`` being its text's hash; bands only where a batch sees the line first."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, keys, first, known = [], [], [], {}, 0
-            for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, rows, places, keys, first = [], [], [], [], {}
+            for doc, row, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 for pos, line in enumerate(whole.split("\n")):
                     if line := line.strip(SPACE):
                         ids.append(doc)
+                        rows.append(row)
                         places.append(pos)
                         first.setdefault(line, len(keys))
                         keys.append(line)
@@ -164,11 +172,17 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
                     bands[first[x]] = row
                 start = stop
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array([number[x] for x in keys], pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "pos", "line", "bands"])
+                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()),
+                 pa.array([number[x] for x in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "row", "pos", "line", "bands"])
+
+    return keyed(docs, key, text).mapInArrow(run, "doc_id long, row long, pos int, line long, bands array<long>")
+
 
-    narrow = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.col(text).alias("text"))
-    return narrow.filter("text is not null").mapInArrow(run, "doc_id long, pos int, line long, bands array<long>")
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(doc_id, row, text)`` of the rows with a text."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc_id"), row_hash(text).alias("row"),
+                       F.col(text).alias("text")).filter("text is not null")
 
 
 def line_components(docs: DataFrame, seen: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -188,13 +202,12 @@ def line_components(docs: DataFrame, seen: DataFrame, key: str, text: str, simil
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .select("line", "band", "tile", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high")))
     tiled = written(tiled, "tiles")
-    # the text of each line that is needed, from one of its occurrences
-    wanted = (seen.select("line", "doc_id", "pos").join(tiled.select("line").distinct(), "line")
-              .groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("line", "at.doc_id", "at.pos"))
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "pos")).alias("want"))
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.col(text).alias("text"))
+    # the text of each line that is needed, from one of the occurrences that a batch saw first
+    wanted = (seen.filter("bands is not null").select("line", "doc_id", "row", "pos").join(tiled.select("line").distinct(), "line")
+              .groupBy("line").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at")).select("line", "at.*"))
+    places = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "pos")).alias("want"))
     # the wanted places are the small side: hashing them spares a sort of the texts
-    texts = (source.filter("text is not null").join(places.hint("shuffle_hash"), "doc_id")
+    texts = (keyed(docs, key, text).join(places.hint("shuffle_hash"), ["doc_id", "row"])
              .select(F.split(F.col("text"), "\n", -1).alias("all"), F.explode("want").alias("w"))
              .select("w.line", F.trim(F.expr("get(all, w.pos)"), F.lit(SPACE)).alias("text"))
              .filter(F.xxhash64("text") == F.col("line"))
@@ -234,32 +247,39 @@ def line_components(docs: DataFrame, seen: DataFrame, key: str, text: str, simil
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id`` (nulls as ``NULL_KEY``) and ``dropped``, the ascending places of lines that have an earlier near copy."""
+    """``doc_id`` (nulls as ``NULL_KEY``), ``row`` (``row_hash``) and ``dropped``, the ascending places of lines that have an earlier near copy."""
     seen = written(occurrences(docs, key, text), "lines")
     roots = line_components(docs, seen, key, text, similarity)
-    at = seen.select("line", "doc_id", "pos").join(roots, "line", "left").select(
-        F.coalesce("root", "line").alias("root"), "doc_id", "pos")
-    first = at.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1")
-    gone = at.join(first, "root").filter(F.struct("doc_id", "pos") > F.col("first"))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    at = seen.select("line", "doc_id", "row", "pos").join(roots, "line", "left").select(
+        F.coalesce("root", "line").alias("root"), "doc_id", "row", "pos")
+    place = F.struct("doc_id", "row", "pos")
+    first = at.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    gone = at.join(first, "root").filter(place > F.col("first"))
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+
+
+def with_dropped(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows``, which have ``__id`` and ``__row_hash``, with their ``__dropped`` places or null."""
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row_hash"), F.col("dropped").alias("__dropped"))
+    return rows.join(gone, ["__id", "__row_hash"], "left")
 
 
 def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per document: ``n_lines`` with content, ``n_dropped`` and the ``dropped`` places; texts are not shuffled for it."""
     gone = dropped_lines(docs, key, text, similarity)
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"),
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), row_hash(text).alias("__row_hash"),
                         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(CONTENT)).cast("long").alias("n_lines"))
-    gone = gone.withColumnRenamed("doc_id", "__key")
-    return (whole.join(gone, F.coalesce("doc_id", F.lit(NULL_KEY)) == F.col("__key"), "left")
-            .select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-                    F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")))
+    return (with_dropped(whole.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_KEY))), gone)
+            .select("doc_id", "n_lines", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+                    F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the later near copies of lines taken out of their texts."""
-    gone = dropped_lines(docs, key, text, similarity).select(F.col("doc_id").alias("__key"), F.col("dropped").alias("__dropped"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("__id"))
-    rows = rows.join(gone, F.col("__id") == F.col("__key"), "left")
+    gone = dropped_lines(docs, key, text, similarity)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("__id"),
+                       row_hash(text).alias("__row_hash"))
+    rows = with_dropped(rows, gone)
     lines = F.filter(F.split(F.col(f"__row.{text}"), "\n", -1), lambda x, i: ~F.array_contains("__dropped", i))
     clean = F.when(F.col("__dropped").isNull(), F.col(f"__row.{text}")).otherwise(F.array_join(lines, "\n"))
     return rows.select(*[clean.alias(text) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
