@@ -76,7 +76,14 @@ class Parse:
         """The 16-bit MinHash values; None without a phrase."""
         if len(self.hashes) == 1:
             return None
-        return (self.fold().least >> np.uint64(40)).astype(np.uint16)
+        return mixed(self.fold().least).astype(np.uint16)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: minima of long texts are small, so their bits are spread over the whole word."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def shown(signature: np.ndarray | None) -> str:
