@@ -12,13 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import (grammar, line_dedup, lz_fingerprint, packing, quality, sentencepiece_backend, sharding, simhash,
+from tallyspark.llm import (distinct_words, grammar, line_dedup, lz_fingerprint, packing, quality, sentencepiece_backend, sharding, simhash,
                             token_counts, toxicity)
 from tallyspark.llm.common import documents, labels
 from tallyspark.session import checkpoint_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 #: Shards of the placement query, and its table's size: a prime over a hundred times as large.
 SHARDS = [f"shard-{i:03d}" for i in range(24)]
 SLOTS = 4093
@@ -88,8 +89,18 @@ def op10_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_shards(spark, folder)
 
 
+def op11_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text from distinct words encoded once, and the bytes they decode to, as digests."""
+    path = public_tokenizers.path(MULTI_BPE)
+    ids = distinct_words.encode_words(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return distinct_words.decode_ids(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_line_dedup, op4_lz_fingerprint, op5_toxicity,
-                                   op6_token_counts, op7_simhash, op8_quality, op9_packing, op10_grammar)}
+                                   op6_token_counts, op7_simhash, op8_quality, op9_packing, op10_grammar, op11_distinct_words)}
 
 #: Fills both tables turn by turn, then looks every document up.
 OP2_SQL = """

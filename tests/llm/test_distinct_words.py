@@ -1,0 +1,87 @@
+"""Byte-level BPE by distinct words against the library on whole texts."""
+
+import functools
+import hashlib
+
+import pytest
+import public_tokenizers
+from helpers import SF, awkward, empty, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import __spark_entry__ as entry
+from tallyspark.llm import distinct_words
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@functools.cache
+def the_library():
+    import tiktoken
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=distinct_words.read_ranks(PATH), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def library():
+    return the_library()
+
+
+def found(docs, pattern=distinct_words.BYTE_PATTERN):
+    out = distinct_words.decode_ids(distinct_words.encode_words(docs, PATH, pattern), PATH).collect()
+    return sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in out)
+
+
+def wanted(docs, library):
+    return sorted((str(r.doc_id), library.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect())
+
+
+def test_the_cut_is_for_this_pattern():
+    assert distinct_words.BYTE_PATTERN == public_tokenizers.PATTERN
+
+
+def test_query(spark, library):
+    got = {r["doc_id"]: r for r in entry.queries()["op11_distinct_words"](spark, SF).collect()}
+    docs = rows()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids, r = library.encode_ordinary(d["text"]), got[d["doc_id"]]
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(d["text"].encode()).hexdigest()
+
+
+def test_awkward_rows(spark, library):
+    docs = awkward(spark).unionByName(awkward(spark)).repartition(3)
+    assert found(docs) == wanted(docs, library)
+    assert found(empty(spark)) == []
+
+
+def test_another_pattern_reads_whole_texts(spark, library):
+    import tiktoken
+    pattern = r"\w+|\W"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=distinct_words.read_ranks(PATH), special_tokens={})
+    docs = awkward(spark)
+    assert found(docs, pattern) == wanted(docs, other)
+
+
+def test_null_ids_decode_to_null(spark):
+    df = spark.createDataFrame([(1, [64, 64]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [r.decoded and bytes(r.decoded) for r in distinct_words.decode_ids(df, PATH).orderBy("doc_id").collect()][1:] == [None, b""]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab Z9'st\n\t .,é漢 　\x01\x85"), max_size=30), max_size=6))
+def test_blocks_put_texts_together(texts):
+    """The three steps in one process: any texts, several buckets."""
+    import pyarrow as pa
+    lib = the_library()
+    coder = distinct_words.kept(distinct_words.WordEncoder, PATH, distinct_words.BYTE_PATTERN)
+    block = distinct_words.explode_block(7, pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), distinct_words.BYTE_PATTERN, 3)
+    out = distinct_words.join_block(pa.Table.from_batches([distinct_words.encode_bucket(distinct_words.to_batch(block[::-1]), coder)]))
+    assert out.column("ids").to_pylist() == [lib.encode_ordinary(t) for t in texts]
+
+
+def test_packed_numbers():
+    import numpy as np
+    for values in ([], [0], [1, 255, 256, 70000, 2**32 - 1]):
+        assert distinct_words.unpacked(distinct_words.packed(np.array(values, np.int64))).tolist() == values
