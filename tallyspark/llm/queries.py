@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import (distinct_words, grammar, line_dedup, lz_fingerprint, packing, quality, sentencepiece_backend, sharding, simhash,
+from tallyspark.llm import (distinct_words, grammar, line_dedup, lz_fingerprint, packing, prefix_trie, quality, sentencepiece_backend, sharding, simhash,
                             token_counts, toxicity)
 from tallyspark.llm.common import documents, labels
 from tallyspark.session import checkpoint_dir
@@ -99,8 +99,16 @@ def op11_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each started like the conversation of its twenty."""
+    turns = prefix_trie.turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(turns, 20, 3, shared)).nodes_with_digests()
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_line_dedup, op4_lz_fingerprint, op5_toxicity,
-                                   op6_token_counts, op7_simhash, op8_quality, op9_packing, op10_grammar, op11_distinct_words)}
+                                   op6_token_counts, op7_simhash, op8_quality, op9_packing, op10_grammar, op11_distinct_words,
+                                   op12_prefix_trie)}
 
 #: Fills both tables turn by turn, then looks every document up.
 OP2_SQL = """
