@@ -12,14 +12,15 @@ Natural text repeats its units.  Arrow cuts a batch of texts and numbers its
 distinct units; the worker asks the library for each distinct one once and
 keeps the answer in a bounded table.  A full table becomes the old one, from
 which answers that are needed again are copied; the one before it is dropped.
-Ids of whole texts are gathered with numpy.  Units of characters whose class
-every regex engine agrees on are cut further, by the tokenizer's own pattern,
-into words for the library's model alone; all other units, and those with a
-special string, go through the whole tokenizer.
+Ids of whole texts are gathered with numpy.  Short units of characters whose
+class every regex engine agrees on go through tiktoken with the file's own
+vocabulary, which gives the same ids several times as fast; all other units, and
+those with a special string, go through the tokenizers library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -31,8 +32,8 @@ import pyarrow.compute as pc
 
 from tallyspark.llm.common import process_cache
 
-#: Units and words of a full table, the longest plain unit, UTF-8 bytes cut at once and per call of the library, words per call.
-TABLE_UNITS, PLAIN_CHARS, CUT_BYTES, CALL_BYTES, CALL_WORDS = 500_000, 64, 4 << 20, 1 << 20, 20_000
+#: Units of a full table, the longest plain unit, UTF-8 bytes cut at once and per call of the library.
+TABLE_UNITS, PLAIN_CHARS, CUT_BYTES, CALL_BYTES = 500_000, 64, 4 << 20, 1 << 20
 #: Rows of an Arrow batch (its bytes are bounded as well): units that repeat within it are looked up once.
 TOKEN_ROWS = 2048
 #: Separator between units.
@@ -43,9 +44,11 @@ ODD_TEXT = "\x01|  |\n\n| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u2000-
 #: Letters and digits of plain units: ASCII, Latin, Cyrillic, Han, Hangul; and their other characters.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u047f\u4e00-\u9fa5\uac00-\ud7a3"
 DIGITS, OTHERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027"
-PLAIN_UNIT = re.compile(f"\n| ?[{LETTERS}{DIGITS}{OTHERS}]+")
-#: The byte-level pattern of the tokenizer file (a fixed value of the format), on those characters.
-BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[{OTHERS}]+|\\s")
+PLAIN_UNIT = f"\\A(?:\n| ?[{LETTERS}{DIGITS}{OTHERS}]+)\\z"
+#: A plain unit that is one match of the pattern.
+PLAIN_WORD = f"\\A ?[{LETTERS}]+\\z"
+#: The byte-level pattern of the tokenizer file (a fixed value of the format).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -119,36 +122,50 @@ class Table:
         return len(self.slots) > TABLE_UNITS or len(self.ids) > 16 * TABLE_UNITS
 
 
+def rank_encoder(tokenizer):
+    """The tiktoken library's encoder for plain units, if the tokenizer is a byte-level BPE model whose merges
+    make their tokens in the order of the ids, so that ids alone say what to merge first; otherwise None."""
+    import tiktoken
+    stated = json.loads(tokenizer.to_str())
+    model, cut = stated["model"], stated["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if (model["type"] != "BPE" or not plain or stated["normalizer"] or cut.get("type") != "ByteLevel"
+            or cut.get("add_prefix_space") or not cut.get("use_regex", True)):
+        return None
+    letter = {c: b for b, c in byte_letters().items()}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in pairs]
+    used = {*letter, *(a + b for a, b in pairs)}
+    if any(x >= y for x, y in zip(made, made[1:])) or not used <= model["vocab"].keys():
+        return None
+    ranks = {bytes(letter[c] for c in t): model["vocab"][t] for t in used}
+    return tiktoken.Encoding("units", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+
 class UnitEncoder:
     """Token counts and ids of whole texts with the library's tokenizer at ``path``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.word = Tokenizer(self.whole.model)
-        specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
-        # letters alone need no closer look, unless a special string is such a word
-        self.quick = not any(s.isalpha() for s in specials)
-        self.letters = {**byte_letters(), 1: MARK}
+        self.whole.encode_special_tokens = not specials
+        found = [t.content for t in self.whole.get_added_tokens_decoder().values()] if specials else []
+        self.special = "|".join(map(re.escape, found))
+        self.ranked = rank_encoder(self.whole)
         self.table, self.old = Table(), Table()
 
-    def _ask(self, tokenizer, groups: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def _ask(self, groups: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         sizes, ids = [], [np.zeros(0, "<u4")]
         for group in groups:
-            found = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            found = [e.ids for e in self.whole.encode_batch_fast(group, add_special_tokens=False)]
             sizes += map(len, found)
             ids.append(np.array(list(chain.from_iterable(found)), "<u4"))
         return np.array(sizes, np.int64), np.concatenate(ids)
 
-    def _ask_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        shown = MARK.join(words).encode().decode("latin-1").translate(self.letters).split(MARK)
-        return self._ask(self.word, (shown[i:i + CALL_WORDS] for i in range(0, len(shown), CALL_WORDS)))
-
     def _recall(self, strings: list[str]) -> list[str]:
         """Copy what the old table knows of these strings; the others."""
         if not self.old.slots:
@@ -161,32 +178,23 @@ class UnitEncoder:
         return [s for s in strings if s not in self.old.slots]
 
     def _learn(self, units: list[str]) -> None:
-        """Add new distinct units: plain ones by their words, which are units as well, others by the whole tokenizer."""
-        words, cuts, other = [], [], []
-        quick, fits, special, cut = self.quick, PLAIN_UNIT.fullmatch, self.special.search, BYTE_LEVEL.findall
-        for u in self._recall(units):
-            if len(u) > PLAIN_CHARS:
-                other.append(u)
-            elif quick and u.isascii() and (u[1:].isalpha() and u[0] == " " or u.isalpha()):
-                words.append(u)
-            elif fits(u) and not special(u):
-                found = cut(u)
-                words += found
-                if len(found) > 1:
-                    cuts.append((u, found))
-            else:
-                other.append(u)
-        slots = self.table.slots
-        new = self._recall([w for w in dict.fromkeys(words) if w not in slots])
-        if new:
-            self.table.add(new, *self._ask_words(new))
-        if cuts:
-            begin, size = self.table.locate(list(chain.from_iterable(w for _, w in cuts)))
-            ends = np.concatenate([[0], np.cumsum(size)])
-            last = np.cumsum([len(w) for _, w in cuts])
-            self.table.add([u for u, _ in cuts], np.diff(ends[np.concatenate([[0], last])]), gather(begin, size, self.table.ids))
+        """Add new distinct units: plain ones by their ranks, others by the whole tokenizer."""
+        new = pa.array(self._recall(units), pa.large_string())
+        plain = pa.array(np.zeros(len(new), bool))
+        if self.ranked:
+            plain = pc.and_(pc.match_substring_regex(new, PLAIN_UNIT), pc.less_equal(pc.utf8_length(new), PLAIN_CHARS))
+            if self.special:
+                plain = pc.and_not(plain, pc.match_substring_regex(new, self.special))
+        some = new.filter(plain)
+        if len(some):
+            word = pc.match_substring_regex(some, PLAIN_WORD)
+            found = list(map(self.ranked.encode_single_piece, some.filter(word).cast(pa.large_binary()).to_pylist()))
+            found += map(self.ranked.encode_ordinary, some.filter(pc.invert(word)).to_pylist())
+            some = pa.concat_arrays([some.filter(word), some.filter(pc.invert(word))]).to_pylist()
+            self.table.add(some, np.fromiter(map(len, found), np.int64, len(found)), np.array(list(chain.from_iterable(found)), "<u4"))
+        other = new.filter(pc.invert(plain)).to_pylist()
         if other:
-            self.table.add(other, *self._ask(self.whole, byte_groups(other)))
+            self.table.add(other, *self._ask(byte_groups(other)))
 
     def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and number of the ids of each of some distinct units, and the ids they point into."""
@@ -213,8 +221,11 @@ class UnitEncoder:
         n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         return n, (np.concatenate(ids) if ids else np.zeros(0, "<u4")) if want_ids else None
 
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        return cut_units(texts)
+
     def _encode(self, texts: pa.Array, want_ids: bool):
-        lists = cut_units(texts)
+        lists = self._cut(texts)
         numbered = lists.flatten().dictionary_encode()
         index = numbered.indices.to_numpy()
         begin, size, ids = self.lookup(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
