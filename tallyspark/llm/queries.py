@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (distinct_words, grammar, line_dedup, lz_fingerprint, packing, prefix_trie, quality, sentencepiece_backend, sharding, simhash,
-                            token_counts, toxicity)
+                            token_alignment, token_counts, toxicity)
 from tallyspark.llm.common import documents, labels
 from tallyspark.session import checkpoint_dir
 
@@ -106,9 +106,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(turns, 20, 3, shared)).nodes_with_digests()
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers' tokens in every text."""
+    return token_alignment.align(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))[0]
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_line_dedup, op4_lz_fingerprint, op5_toxicity,
                                    op6_token_counts, op7_simhash, op8_quality, op9_packing, op10_grammar, op11_distinct_words,
-                                   op12_prefix_trie)}
+                                   op12_prefix_trie, op13_token_alignment)}
 
 #: Fills both tables turn by turn, then looks every document up.
 OP2_SQL = """
