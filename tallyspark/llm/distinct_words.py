@@ -43,8 +43,8 @@ from tallyspark.llm.units import cut_units, gather
 
 #: Texts may be cut at the safe places of ``units`` under this pattern (a fixed value of byte-level BPE).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of a block (its bytes are bounded by the session's batch size) and distinct words that a worker remembers.
-BLOCK_ROWS, KNOWN_WORDS = 1 << 14, 1 << 21
+#: Rows of a block (its bytes are bounded by the session's batch size) and distinct words that a task remembers.
+BLOCK_ROWS, KNOWN_WORDS = 1 << 14, 1 << 20
 #: Rows on their way: a block's positions, or its words or ids of one bucket.
 POSITIONS, WORDS = 0, 1
 TRAVEL = "slot long, block long, kind int, docs array<long>, sizes array<long>, numbers binary, lengths binary, data binary"
@@ -69,20 +69,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class WordEncoder:
-    """The library's encoder of single pre-tokens, with what this worker has encoded before."""
+    """The library's encoder of single pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
         self.one = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})._encode_single_piece
-        self.known: dict[bytes, list[int]] = {}
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known, one = self.known, self.one
+    def encode(self, words: list[bytes], known: dict[bytes, tuple[int, ...]]) -> list[tuple[int, ...]]:
+        """Ids of words; ``known`` is what a task has encoded before, and starts afresh when it is full."""
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         for w in words:
             if w not in known:
-                known[w] = one(w)
+                known[w] = tuple(self.one(w))
         return [known[w] for w in words]
 
 
@@ -151,13 +150,13 @@ def explode_block(block: int, docs: pa.Array, texts: pa.Array, pattern: str, buc
     return out
 
 
-def encode_bucket(batch: pa.RecordBatch, coder: WordEncoder) -> pa.RecordBatch:
+def encode_bucket(batch: pa.RecordBatch, coder: WordEncoder, known: dict) -> pa.RecordBatch:
     """Words of a batch replaced by their ids; positions as they are."""
     rows = []
     for slot, block, kind, docs, sizes, numbers, lengths, data in zip(*(c.to_pylist() for c in batch.columns)):
         if kind == WORDS:
             text, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(unpacked(lengths)).tolist()
-            ids = coder.encode([text[a:z] for a, z in zip([0, *ends], ends)])
+            ids = coder.encode([text[a:z] for a, z in zip([0, *ends], ends)], known)
             lengths, data = packed(np.array([len(i) for i in ids])), packed(np.array([x for i in ids for x in i], np.int64))
         rows.append(row(slot, block, kind, docs, sizes, numbers, lengths, data))
     return to_batch(rows)
@@ -198,10 +197,10 @@ def encode_words(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, key: s
                 number += 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept(WordEncoder, path, pattern)
+        coder, known = kept(WordEncoder, path, pattern), {}
         for batch in batches:
             if batch.num_rows:
-                yield encode_bucket(batch, coder)
+                yield encode_bucket(batch, coder, known)
 
     words = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(explode, TRAVEL)
     ids = words.repartition(buckets, "slot").mapInArrow(encode, TRAVEL)

@@ -44,8 +44,10 @@ from tallyspark.llm.distinct_words import kept, packed, unpacked
 from tallyspark.llm.sentencepiece_backend import MARKER, NORMAL, USER_DEFINED, read_model
 from tallyspark.llm.units import Table, UnitEncoder, byte_groups, byte_letters, gather
 
-#: Rows of a block, pairs of tokens laid out at once, and links of a group from which its ids are counted first.
-BLOCK_ROWS, PAIRS_AT_ONCE, MANY_LINKS = 1 << 13, 1 << 22, 1 << 10
+#: Rows and bytes of a block, bytes aligned at once, units that an encoder remembers.
+BLOCK_ROWS, BLOCK_BYTES, ALIGN_BYTES, REMEMBERED = 1 << 13, 8 << 20, 1 << 20, 100_000
+#: Pairs of tokens laid out at once, and links of a group from which its ids are counted first.
+PAIRS_AT_ONCE, MANY_LINKS = 1 << 19, 1 << 10
 #: A text that starts with a space, or holds a marker or two spaces, goes through the library whole.
 ODD_PIECES = f"^ |  |{MARKER}"
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -54,6 +56,8 @@ BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 class PlainEncoder(UnitEncoder):
     """Byte-level ids; special strings are plain text."""
 
+    most = REMEMBERED
+
     def __init__(self, path: str):
         super().__init__(path, specials=False)
         letter = {c: b for b, c in byte_letters().items()}
@@ -68,6 +72,8 @@ class PieceEncoder(UnitEncoder):
     safe place; a model with pieces or rules of another kind reads whole texts.
     """
 
+    most = REMEMBERED
+
     def __init__(self, path: str):
         import sentencepiece
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -207,9 +213,8 @@ def decimals(most: int):
     return token_bytes({i: b"%d," % i for i in range(most)})
 
 
-def align_block(block: int, docs: pa.Array, texts: pa.Array, a_coder: PlainEncoder, b_coder: PieceEncoder) -> pa.RecordBatch:
-    """The one row of a block."""
-    texts = texts.cast(pa.large_string())
+def align_texts(texts: pa.Array, a_coder: PlainEncoder, b_coder: PieceEncoder):
+    """Counts, hashes of groups, and pairs of some documents."""
     spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
     spaced = pc.if_else(pc.equal(texts, ""), "", spaced)
     size = pc.binary_length(spaced).to_numpy().astype(np.int64)
@@ -217,14 +222,28 @@ def align_block(block: int, docs: pa.Array, texts: pa.Array, a_coder: PlainEncod
     a, b = listed(*a_coder.encode(spaced)), listed(*b_coder.encode(texts))
     good = pa.array(right_tokens(a, a_coder.tokens, data, size) & right_tokens(b, b_coder.tokens, data, size))
     a, b = (pc.if_else(good, x, pa.array([[]], x.type)[0]) for x in (a, b))
-    count = len(docs)
     n_a, n_b = (pc.list_value_length(x).to_numpy() for x in (a, b))
     # the lists anew, without the values of those that were emptied
     a, b = listed(n_a, pc.list_flatten(a).to_numpy()), listed(n_b, pc.list_flatten(b).to_numpy())
     groups = Groups(a, b, a_coder.tokens, b_coder.tokens)
-    n_groups = np.bincount(groups.doc, minlength=count)
-    shown = groups.texts(count, kept(DecimalTable, max(len(a_coder.tokens[1]), len(b_coder.tokens[1]))).table)
-    pairs = groups.pairs()
+    n_groups = np.bincount(groups.doc, minlength=len(texts))
+    shown = groups.texts(len(texts), kept(DecimalTable, max(len(a_coder.tokens[1]), len(b_coder.tokens[1]))).table)
+    hashed = [hashlib.sha256(t).hexdigest() if n else "" for t, n in zip(shown, n_a.tolist())]
+    return (n_a, n_b, n_groups, sums(groups.links, n_groups), np.array(hashed, object)), groups.pairs()
+
+
+def align_block(block: int, docs: pa.Array, texts: pa.Array, a_coder: PlainEncoder, b_coder: PieceEncoder) -> pa.RecordBatch:
+    """The one row of a block, aligned in slices of about ``ALIGN_BYTES``."""
+    texts = texts.cast(pa.large_string())
+    part = (np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) - 1) // ALIGN_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-2))
+    columns, tables = [], []
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)]):
+        found, pairs = align_texts(texts.slice(a, z - a), a_coder, b_coder)
+        columns.append(found)
+        tables.append(pairs.set_column(0, "doc", pc.add(pairs["doc"], a)))
+    n_a, n_b, n_groups, n_links, hashed = (np.concatenate(c) for c in zip(*columns))
+    pairs = pa.concat_tables(tables)
     held = pairs.group_by("pair", use_threads=False).aggregate([("doc", "count")]).sort_by([("doc_count", "descending")])
     number = pc.index_in(pairs["pair"], held["pair"]).to_numpy().astype(np.int64)
     doc, links = pairs["doc"].to_numpy(), pairs["links"].to_numpy()
@@ -233,13 +252,11 @@ def align_block(block: int, docs: pa.Array, texts: pa.Array, a_coder: PlainEncod
     same = np.diff(doc, prepend=-1) == 0
     step = number - np.where(same, np.concatenate([[0], number[:-1]])[:len(number)], 0)
     pair = held["pair"].to_numpy()
-    hashed = [hashlib.sha256(t).hexdigest() if n else "" for t, n in zip(shown, n_a.tolist())]
-    values = [block, docs.to_pylist(), n_a, n_b, n_groups, sums(groups.links, n_groups), hashed, np.bincount(doc, minlength=count),
+    values = [block, docs.to_pylist(), n_a, n_b, n_groups, n_links, hashed, np.bincount(doc, minlength=len(texts)),
               packed(step), packed(links), pair >> 32, pair & 0xFFFFFFFF, held["doc_count"].to_numpy()]
-    kinds = {"block long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-             "array<string>": pa.list_(pa.string())}
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if n == "block" else pa.binary() if n in ("numbers", "links") else
-                                                kinds[c.split()[1]]) for n, v, c in zip(BLOCK_NAMES, values, BLOCK.split(", "))], BLOCK_NAMES)
+    kinds = {"array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+             "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[c.split()[1]]) for v, c in zip(values, BLOCK.split(", "))], BLOCK_NAMES)
 
 
 class DecimalTable:
@@ -270,7 +287,7 @@ def add_up(blocks: pa.Table, valued: pa.Table) -> pa.Table:
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents ``RESULT``, and the corpus's pairs ``(a, b, n_docs, best)``: how many documents link them, and
     whether no pair of the same A id is linked by more."""
-    arrow_batches(docs.sparkSession, BLOCK_ROWS)
+    arrow_batches(docs.sparkSession, BLOCK_ROWS, BLOCK_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_coder, b_coder = kept(PlainEncoder, a_path), kept(PieceEncoder, b_path)

@@ -118,8 +118,8 @@ class Table:
         at = np.fromiter(map(self.slots.__getitem__, strings), np.int64, len(strings))
         return self.begins[at], self.sizes[at]
 
-    def full(self) -> bool:
-        return len(self.slots) > TABLE_UNITS or len(self.ids) > 16 * TABLE_UNITS
+    def full(self, most: int) -> bool:
+        return len(self.slots) > most or len(self.ids) > 16 * most
 
 
 def rank_encoder(tokenizer):
@@ -145,6 +145,8 @@ def rank_encoder(tokenizer):
 class UnitEncoder:
     """Token counts and ids of whole texts with the library's tokenizer at ``path``."""
 
+    most = TABLE_UNITS
+
     def __init__(self, path: str, specials: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
@@ -198,7 +200,7 @@ class UnitEncoder:
 
     def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and number of the ids of each of some distinct units, and the ids they point into."""
-        if self.table.full():
+        if self.table.full(self.most):
             self.old, self.table = self.table, Table()
         slots = self.table.slots
         new = [u for u in units if u not in slots]

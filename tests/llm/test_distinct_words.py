@@ -77,7 +77,7 @@ def test_blocks_put_texts_together(texts):
     lib = the_library()
     coder = distinct_words.kept(distinct_words.WordEncoder, PATH, distinct_words.BYTE_PATTERN)
     block = distinct_words.explode_block(7, pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), distinct_words.BYTE_PATTERN, 3)
-    out = distinct_words.join_block(pa.Table.from_batches([distinct_words.encode_bucket(distinct_words.to_batch(block[::-1]), coder)]))
+    out = distinct_words.join_block(pa.Table.from_batches([distinct_words.encode_bucket(distinct_words.to_batch(block[::-1]), coder, {})]))
     assert out.column("ids").to_pylist() == [lib.encode_ordinary(t) for t in texts]
 
 
