@@ -99,9 +99,10 @@ def first_per_period_rollup(prices: DataFrame, mapping: DataFrame, unit: str = "
     return spine_fill(grouped.select("series_key", "period", F.col("_o")[price].alias("price")), unit=unit)
 
 
-def spine_fill(periods: DataFrame, unit: str = "month", key: str = "series_key") -> DataFrame:
+def spine_fill(periods: DataFrame, unit: str = "month", key: str = "series_key", keep: Sequence[str] = ()) -> DataFrame:
     """S6 on an aggregated ``(key, period, *values)`` table: insert every missing
-    period between a series' first and last period, value columns NULL."""
+    period between a series' first and last period, value columns NULL, those
+    in ``keep`` as in the period before."""
     values = [c for c in periods.columns if c not in (key, "period")]
     w = Window.partitionBy(key).orderBy("period")
     with_next = periods.withColumn("_next", F.lead("period").over(w))
@@ -110,7 +111,7 @@ def spine_fill(periods: DataFrame, unit: str = "month", key: str = "series_key")
         F.col(key), *[F.col(v) for v in values],
         F.posexplode(F.sequence(F.col("period"), last_in_run, _step(unit))).alias("_pos", "period"))
     return exploded.select(F.col(key), F.col("period"),
-                           *[F.when(F.col("_pos") == 0, F.col(v)).alias(v) for v in values])
+                           *[F.col(v) if v in keep else F.when(F.col("_pos") == 0, F.col(v)).alias(v) for v in values])
 
 
 def date_spine(prices: DataFrame, unit: str = "month", key: str = "series_key", ts: str = "ts") -> DataFrame:

@@ -1,0 +1,85 @@
+"""Plan tables against a plain loop over plans and ticks, and the shape of their plan."""
+
+import datetime as dt
+import random
+
+import pytest
+from conftest import SF0001
+
+from tallyspark.operators import backtest
+from tallyspark.operators.periods import UNITS
+from tallyspark.sources import prices as src
+
+PLANS = "plan_id long, series_key string, amount double, start timestamp_ntz, end timestamp_ntz, annual double"
+TICKS = "series_key string, ts timestamp_ntz, price double, tie1 long, tie2 long"
+
+
+def begin(ts, unit):
+    day = ts.date()
+    return day.replace(day=1) if unit == "month" else day - dt.timedelta(days=day.weekday()) if unit == "week" else day
+
+
+def brute(plans, ticks, unit):
+    """{(plan_id, period): first price} of the periods that hold a tick of the plan."""
+    out = {}
+    for plan, series, _, start, end, _ in plans:
+        for s, ts, price, *ties in sorted((t for t in ticks if t[0] == series and start <= t[1] < end), key=lambda t: (t[1], t[3], t[4])):
+            key = plan, begin(ts, unit)
+            out.setdefault(key, None)
+            if out[key] is None and price is not None:
+                out[key] = price
+    return out
+
+
+@pytest.mark.parametrize("unit", UNITS)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_plan_periods(spark, unit, seed):
+    random.seed(seed)
+    base = dt.datetime(2024, 1, 20)
+
+    def moment(hours):
+        return base + dt.timedelta(hours=random.randrange(0, hours), minutes=random.choice([0, 0, 30]))
+
+    # half of all ticks in one series, on a few hours
+    ticks = [(random.choice(["hot", "a", "b"]), moment(random.choice([48, 24 * 80])), random.choice([None, 1.0, 2.0, 3.5, 7.0]),
+              random.randrange(3), n) for n in range(400)]
+    plans = [(n, random.choice(["hot", "a", "none"]), 10.0, s, s + dt.timedelta(hours=random.choice([1, 5, 24, 400, 2000])), 0.1)
+             for n in range(80) for s in [moment(random.choice([48, 24 * 70]))]]
+    plans += [(None, "hot", 10.0, base, base + dt.timedelta(days=60), 0.1), (900, None, 10.0, base, base + dt.timedelta(days=60), 0.1)]
+    got = backtest.plan_periods(backtest.checked_plans(spark.createDataFrame(plans, PLANS)), spark.createDataFrame(ticks, TICKS), unit)
+    assert {(r.plan_id, r.period): r.price for r in got.collect()} == brute(plans, ticks, unit)
+    assert got.count() == len(brute(plans, ticks, unit))
+
+
+def test_dates_need_no_cuts(spark):
+    """With starts of type date, ticks go into the partial aggregate and meet nothing else."""
+    ticks = [("a", dt.datetime(2024, 1, 1 + n % 28, n % 24), float(n + 1), n, 0) for n in range(50)]
+    plans = [(n, "a", 10.0, dt.date(2024, 1, 1 + n), dt.date(2024, 1, 10 + n), 0.0) for n in range(15)]
+    df = spark.createDataFrame(plans, PLANS.replace("timestamp_ntz", "date"))
+    got = backtest.backtest(df, spark.createDataFrame(ticks, TICKS))
+    whole = [(p, s, a, dt.datetime.combine(x, dt.time()), dt.datetime.combine(y, dt.time()), r) for p, s, a, x, y, r in plans]
+    want = brute(whole, ticks, "month")
+    assert {r.plan_id: r.value for r in got.collect()} == pytest.approx({p: 10.0 for p, _ in want})
+
+
+def test_no_plans_and_no_ticks(spark):
+    none, some = spark.createDataFrame([], PLANS), spark.createDataFrame([], TICKS)
+    assert backtest.backtest(none, some).count() == 0
+    assert backtest.backtest(none, src.lineitem_prices(spark, SF0001)).count() == 0
+
+
+def test_plans_meet_aggregated_rows_only(spark):
+    """Every join's inputs on the ticks' side are aggregates: no join sits between the scan and its partial aggregate."""
+    from tallyspark.plans.registry import QUERIES
+    plan = QUERIES["plan_batch"](spark, SF0001)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    scans = [i for i, x in enumerate(plan) if "l_shipdate" in x and "Relation" in x]
+    assert scans
+    for i in scans:
+        above, at = [], depth[i]
+        for j in range(i - 1, -1, -1):
+            if depth[j] < at:
+                at = depth[j]
+                above.append(plan[j].lstrip(" :+-").split(" ")[0])
+        assert "Aggregate" in above
+        assert "Join" not in above[:above.index("Aggregate")]
