@@ -43,8 +43,8 @@ from tallyspark.llm.units import cut_units, gather
 
 #: Texts may be cut at the safe places of ``units`` under this pattern (a fixed value of byte-level BPE).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of a block (its bytes are bounded by the session's batch size) and distinct words that a task remembers.
-BLOCK_ROWS, KNOWN_WORDS = 1 << 14, 1 << 20
+#: Rows and bytes of a block, and distinct words that a task remembers.
+BLOCK_ROWS, BLOCK_BYTES, KNOWN_WORDS = 1 << 14, 12 << 20, 1 << 20
 #: Rows on their way: a block's positions, or its words or ids of one bucket.
 POSITIONS, WORDS = 0, 1
 TRAVEL = "slot long, block long, kind int, docs array<long>, sizes array<long>, numbers binary, lengths binary, data binary"
@@ -128,7 +128,7 @@ def explode_block(block: int, docs: pa.Array, texts: pa.Array, pattern: str, buc
         cut = find(unit)
         sizes.append(len(cut))
         found += cut
-    of_units = np.fromiter((words.setdefault(w, len(words)) for w in found), np.int64, len(found))
+    of_units = np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found))
     sizes = np.array(sizes, np.int64)
     index = units.indices.to_numpy()
     positions = gather((np.cumsum(sizes) - sizes)[index], sizes[index], of_units)
@@ -136,7 +136,7 @@ def explode_block(block: int, docs: pa.Array, texts: pa.Array, pattern: str, buc
     first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
     # the most frequent words get the smallest numbers, which compress best
     order = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
-    number = np.empty(len(words), np.int64)
+    number = np.empty(len(words), np.int32)
     number[order] = np.arange(len(words))
     out = [row(block % buckets, block, POSITIONS, docs.to_pylist(), np.diff(ends[first]).tolist(), packed(number[positions]))]
     data = [w.encode() for w in words]
@@ -173,7 +173,7 @@ def join_block(table: pa.Table) -> pa.Table:
             lengths.append(unpacked(lens))
             ids.append(unpacked(data))
     docs, sizes, positions = where
-    begin, size = np.zeros((2, sum(map(len, numbers))), np.int64)
+    begin, size = np.zeros((2, sum(map(len, numbers))), np.int32)
     if numbers:
         n, each = np.concatenate(numbers), np.concatenate(lengths)
         size[n], begin[n] = each, np.cumsum(each) - each
@@ -186,7 +186,7 @@ def join_block(table: pa.Table) -> pa.Table:
 def encode_words(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id long, ids array<int>)`` of each row of ``docs``, by the rank file at ``path``."""
     spark = docs.sparkSession
-    arrow_batches(spark, BLOCK_ROWS)
+    arrow_batches(spark, BLOCK_ROWS, BLOCK_BYTES)
     buckets = shuffle_partitions(spark)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +194,7 @@ def encode_words(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, key: s
         for batch in batches:
             if batch.num_rows:
                 yield to_batch(explode_block(number, batch.column(0), batch.column(1), pattern, buckets))
+                pa.default_memory_pool().release_unused()
                 number += 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
