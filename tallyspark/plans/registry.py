@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import backtest, kpi, ledger, periods, retrieval, transcripts, vectors
+from tallyspark.operators import backtest, kpi, ledger, neighbours, periods, retrieval, transcripts, vectors
 from tallyspark.sources import prices as src
 from tallyspark.sources.text import append_corpus
 
@@ -201,9 +201,7 @@ def _embeddings(spark, sf):
 
 def _knn_graph(spark, sf, metric):
     e = _embeddings(spark, sf)
-    nb = vectors.knn(e.withColumnRenamed("vec_id", "q_id"), e, k=vectors.DEFAULT_K, metric=metric,
-                     q_keys=["q_id"], d_key="vec_id", exclude_self=True, dim=64, question_blocks=None)
-    return nb
+    return neighbours.knn_graph(e, k=neighbours.DEFAULT_K, metric=metric, key="vec_id", dim=64, question_key="q_id")
 
 
 def q_knn_l2_top2(spark, sf):
@@ -223,7 +221,7 @@ def _question_vectors(spark, sf):
 def q_knn_small_corpus(spark, sf):
     idx = retrieval.index_of(_benchmark(spark, sf), d_key="item_id")
     return vectors.knn(_question_vectors(spark, sf), idx, k=SMALL_CORPUS_K, q_keys=["conv_id", "turn"],
-                       d_key="item_id", question_blocks=None)
+                       d_key="item_id")
 
 
 def q_context_concat(spark, sf):

@@ -51,7 +51,7 @@ def test_encoder_hook(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, "")], "doc_id long, text string")
 
     def enc(texts):
-        return np.stack([[len(t), 1.0, 0.0] for t in texts])
+        return np.stack([[len(t.as_py()), 1.0, 0.0] for t in texts])
 
     got = {r["doc_id"]: list(r["embedding"]) for r in vectors.encode_with(docs, enc, dim=3).collect()}
     n = np.sqrt(10.0)
@@ -66,16 +66,16 @@ def test_month_spine_spans_gaps(spark):
 
 
 def test_retrieval_never_shuffles_the_corpus(spark):
-    """Broadcast path: questions and the neighbour list are broadcast; the corpus
-    (its vectors in the kernel, its text in the neighbour join) is never
-    exchanged by document id."""
+    """Vectors travel once, as whole blocks dealt round robin; what is hashed or sorted afterwards are
+    candidates, and no document goes by its id while the neighbours fit a broadcast."""
     from tallyspark.operators import retrieval
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
     qs = retrieval.questions_from_conversations(spark.read.parquet(f"{SF0001}/conversations.parquet"))
     ctx = retrieval.retrieve_context(qs, docs)
     plan = ctx._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "BroadcastHashJoin" in plan
-    assert "Exchange hashpartitioning(doc_id" not in plan
+    assert plan.count("RoundRobinPartitioning") == 2 and "MapInArrow" in plan
+    assert "Exchange hashpartitioning(doc_id" not in plan and "Exchange rangepartitioning" not in plan
+    assert not [x for x in plan.split("\n") if "Sort [" in x and "vectors" in x]
     assert ctx.count() == qs.count()
 
 
@@ -98,7 +98,8 @@ def test_unique_timestamps_need_no_sort_aggregate(spark):
 
 
 def test_building_a_ledger_or_a_retrieval_launches_few_jobs(spark):
-    """Schema reads aside, a ledger launches none and a retrieval only the collect of its block."""
+    """Schema reads aside, a ledger launches none.  A retrieval writes its questions and both sides' blocks
+    and counts the blocks, however many questions there are and into how many blocks they are cut."""
     from tallyspark.operators import retrieval
     prices, cpi = src.lineitem_prices(spark, SF0001), src.orders_cpi(spark, SF0001)
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
@@ -116,5 +117,13 @@ def test_building_a_ledger_or_a_retrieval_launches_few_jobs(spark):
     def build_retrieval():
         retrieval.retrieve_context(qs, docs)
 
+    def build_few():
+        retrieval.retrieve_context(qs.limit(3), docs)
+
+    def build_in_blocks():
+        retrieval.retrieve_context(qs, docs, question_blocks=7)
+
     assert jobs(build_ledger) == 0
-    assert jobs(build_retrieval) == 1
+    # three writes, and one count for each side, whose exchange is a job of its own
+    assert jobs(build_retrieval) <= 7
+    assert jobs(build_few) <= 8 and jobs(build_in_blocks) <= 8
