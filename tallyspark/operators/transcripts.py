@@ -37,7 +37,8 @@ def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "
     numbered inside (partition, conversation), and prefix sums of the counts of
     those pieces -- one row each -- give the offsets.  The numbered table is
     checkpointed, as both uses must see the same pieces.  Rows that are equal in
-    all four columns are interchangeable.
+    all four columns are interchangeable.  Turns without a conversation are one
+    conversation of their own.
     """
     last = transcript.groupBy("conv_id").agg(F.max("turn").alias("_last"))
     order = [F.col(order_col), F.col("role"), F.col("text")]
@@ -51,9 +52,9 @@ def append_turns(transcript: DataFrame, new_turns: DataFrame, order_col: str = "
     sizes = numbered.groupBy("conv_id", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .join(last, "conv_id", "left")
-               .select("conv_id", "_piece", (F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_off")).alias("_start")))
-    added = (numbered.join(offsets, ["conv_id", "_piece"])
+               .join(last.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+               .select(F.col("conv_id").alias("_conv"), F.col("_piece").alias("_of"), (F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_off")).alias("_start")))
+    added = (numbered.join(offsets, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_piece") == F.col("_of")))
              .select("conv_id", (F.col("_start") + F.col("_pos")).cast("bigint").alias("turn"), "role", "text"))
     return transcript.select("conv_id", F.col("turn").cast("bigint"), "role", "text").unionByName(added)
 
@@ -81,8 +82,11 @@ def replay(transcript: DataFrame, sep: str = "\n", chunked: bool = True) -> Data
     (conversation, block of ``REPLAY_CHUNK`` turns) -- every group and every
     row is bounded, however long a conversation is; reading the rows in
     ``chunk`` order replays it.
+
+    Every turn is a line: a null role or text is empty, turns without a number
+    come first, and turns without a conversation are one of their own.
     """
-    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
     chunks = (transcript
               .select("conv_id", "turn", line.alias("line"), F.floor(F.col("turn") / REPLAY_CHUNK).alias("_chunk"))
               .groupBy("conv_id", "_chunk")

@@ -266,18 +266,44 @@ SELECT ctx.conv_id, ctx.turn, {system.replace('st.metrics_text', f'coalesce(st.m
     snap = """period, nominal, round("real", 3) AS "real", round(value, 3) AS value,
        round(devaluation_pct, 6) AS devaluation_pct, round(roi_pct, 6) AS roi_pct FROM snap"""
     s["backtest_range"] = f"WITH {kpi_cte(ledger_fixed_cte(ranged, 'month', RANGE_AMOUNT, RANGE_ANNUAL))} SELECT series_key, {snap}"
-    by_plan = f"""SELECT CAST(p.plan_id AS VARCHAR) AS series_key, o.ts, o.t1, o.t2, o.price FROM plans p JOIN ({LI_OBS}) o USING (series_key)
+    def plan_sql(plans: str, obs: str, unit: str, per_year: int) -> str:
+        ticks = f"""SELECT CAST(p.plan_id AS VARCHAR) AS series_key, o.ts, o.t1, o.t2, o.price FROM plans p JOIN ({obs}) o USING (series_key)
                   WHERE o.ts >= p.lo AND o.ts < p.hi"""
-    plan_ledger = (ledger_fixed_cte(by_plan)
-                   .replace(num(1.0 + rate(APP_ANNUAL, MONTHS)), f"(1 + (pow(1 + annual, {num(1 / 12)}) - 1))")
-                   .replace(num(APP_AMOUNT), "amount")
-                   .replace("FROM periods)", "FROM periods JOIN terms USING (series_key))")
-                   .replace("SELECT series_key, period, price,\n              coalesce", "SELECT series_key, period, price, amount, annual,\n              coalesce"))
-    s["plan_batch"] = f"""WITH plans AS (SELECT c_custkey AS plan_id, CAST(c_custkey AS VARCHAR) AS series_key, 500.0 + 500.0 * (c_custkey % 20) AS amount,
-       TIMESTAMP '1995-06-01' + to_months(CAST(c_custkey % 24 AS INTEGER)) AS lo,
-       TIMESTAMP '1998-06-01' + to_months(CAST(c_custkey % 24 AS INTEGER)) AS hi, CAST(c_custkey % 10 AS DOUBLE) / 100 AS annual FROM customer),
+        ledger = (ledger_fixed_cte(ticks, unit)
+                  .replace(num(1.0 + rate(APP_ANNUAL, per_year)), f"(1 + (pow(1 + annual, {num(1 / per_year)}) - 1))")
+                  .replace(num(APP_AMOUNT), "amount")
+                  .replace("FROM periods)", "FROM periods JOIN terms USING (series_key))")
+                  .replace("SELECT series_key, period, price,\n              coalesce", "SELECT series_key, period, price, amount, annual,\n              coalesce"))
+        return f"""WITH plans AS ({plans}),
 terms AS (SELECT CAST(plan_id AS VARCHAR) AS series_key, CAST(amount AS DOUBLE) AS amount, annual FROM plans),
-{kpi_cte(plan_ledger)} SELECT CAST(series_key AS BIGINT) AS plan_id, {snap}"""
+{kpi_cte(ledger)} SELECT CAST(series_key AS BIGINT) AS plan_id, {snap}"""
+
+    s["plan_batch"] = plan_sql("""SELECT c_custkey AS plan_id, CAST(c_custkey AS VARCHAR) AS series_key, 500.0 + 500.0 * (c_custkey % 20) AS amount,
+       TIMESTAMP '1995-06-01' + to_months(CAST(c_custkey % 24 AS INTEGER)) AS lo,
+       TIMESTAMP '1998-06-01' + to_months(CAST(c_custkey % 24 AS INTEGER)) AS hi, CAST(c_custkey % 10 AS DOUBLE) / 100 AS annual FROM customer""",
+                               LI_OBS, "month", MONTHS)
+    s["plan_batch_week"] = plan_sql("""SELECT c_custkey AS plan_id, CAST(c_custkey % 150 AS VARCHAR) AS series_key, 100.0 + 10.0 * (c_custkey % 7) AS amount,
+       TIMESTAMP '2024-01-01' + to_hours(CAST(c_custkey % 450 AS INTEGER)) AS lo,
+       TIMESTAMP '2024-01-01' + to_hours(CAST(c_custkey % 450 + 100 + c_custkey % 300 AS INTEGER)) AS hi,
+       CAST(c_custkey % 10 AS DOUBLE) / 100 AS annual FROM customer""", EV_OBS, "week", WEEKS)
+    backup = f"SELECT series_key, ts, price FROM ({LI_OBS}) WHERE ts >= TIMESTAMP '{FALLBACK_START}'"
+    feed = f"SELECT series_key, ts, price FROM ({LI_OBS}) WHERE ts >= TIMESTAMP '2001-01-01'"
+    s["fallback_by_series"] = f"""WITH f AS ({feed}) SELECT *, 'primary' AS origin FROM f
+UNION ALL SELECT *, 'backup' AS origin FROM ({backup}) WHERE series_key NOT IN (SELECT series_key FROM f)"""
+    s["fallback_empty_primary"] = f"SELECT *, 'backup' AS origin FROM ({backup})"
+    s["fallback_primary"] = f"SELECT *, 'primary' AS origin FROM ({feed})"
+    s["csv_prices"] = f"SELECT series_key, ts, price, false AS malformed FROM ({LI_OBS})"
+    s["csv_cpi_fill"] = s["cpi_left_join_fill"]
+    s["text_files"] = "SELECT doc_id, text FROM documents"
+    s["knn_appended"] = f"""WITH grown AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark),
+{topk_text_cte('grown', 'doc_id', K)}
+SELECT conv_id, turn, rank, doc_id, dist FROM ranked"""
+    letters = ", ".join(f"len(text) - len(replace(text, '{c}', ''))" for c in "aeiou ")
+    s["encode_hook"] = f"""WITH v AS (SELECT doc_id, CAST([{letters}, 1] AS DOUBLE[]) AS v FROM documents)
+SELECT doc_id, i AS place, round(CAST(CAST(v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS FLOAT) AS DOUBLE), 5) AS value
+FROM v, range(7) r(i)"""
+    s["state_metrics_absent"] = f"""WITH {ledger_fixed_cte()}
+SELECT series_key, max(nominal) AS total_invested, CAST(0 AS DOUBLE) AS portfolio_peak FROM fixed GROUP BY 1"""
     s["kpi_labels_plus"] = s["kpi_labels"].replace("printf('%+.1f%%'", "'+' || printf('%.1f%%'")
     s["transcript_append"] = f"""SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS turn, 'assistant' AS role,
        {lit(GREETING)} AS text FROM conversations
@@ -285,10 +311,10 @@ UNION ALL
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn, role, text
 FROM conversations"""
     s["transcript_replay"] = """SELECT conv_id, count(*) AS n_turns,
-       string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS transcript
+       string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), E'\\n' ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id"""
     s["transcript_replay_chunks"] = f"""SELECT conv_id, CAST(floor(turn / {CHUNK}) AS BIGINT) AS chunk,
-       count(*) AS n_turns, string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS transcript
+       count(*) AS n_turns, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), E'\\n' ORDER BY turn) AS transcript
 FROM conversations GROUP BY conv_id, chunk"""
     return s
 

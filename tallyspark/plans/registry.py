@@ -9,6 +9,7 @@ operation in both engines are left as they are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import backtest, kpi, ledger, neighbours, periods, retrieval, transcripts, vectors
 from tallyspark.sources import prices as src
-from tallyspark.sources.text import append_corpus
+from tallyspark.session import checkpoint_dir
+from tallyspark.sources.text import append_corpus, read_text_files, write_text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +88,57 @@ def q_price_scan_keys(spark, sf):
     return src.lineitem_prices(spark, sf, keys=SCAN_KEYS).select("series_key", "ts", "price")
 
 
+RECENT_FEED, NO_FEED = "2001-01-01", "2005-01-01"
+
+
+def q_fallback_by_series(spark, sf):
+    """Series with a price in the recent feed come from there, all others from the longer table."""
+    return src.fallback_by_series(spark, lambda: src.lineitem_prices(spark, sf, start=RECENT_FEED),
+                                  lambda: src.lineitem_prices(spark, sf), start=FALLBACK_START).select("series_key", "ts", "price", "origin")
+
+
+def q_fallback_empty_primary(spark, sf):
+    """The primary exists and has no rows."""
+    df = src.with_fallback(spark, lambda: src.lineitem_prices(spark, sf, start=NO_FEED), lambda: src.lineitem_prices(spark, sf),
+                           start=FALLBACK_START, origin="origin")
+    return df.select("series_key", "ts", "price", "origin")
+
+
+def q_fallback_primary(spark, sf):
+    """The primary has rows: nothing of the backup is used."""
+    df = src.with_fallback(spark, lambda: src.lineitem_prices(spark, sf, start=RECENT_FEED), lambda: src.lineitem_prices(spark, sf),
+                           start=FALLBACK_START, origin="origin")
+    return df.select("series_key", "ts", "price", "origin")
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_prices(spark, sf):
+    """Prices written as CSV and read back."""
+    path = _folder(spark, "prices-csv")
+    prices = src.lineitem_prices(spark, sf).select("series_key", F.col("ts").cast("string").alias("Date"), F.col("price").alias("Close"))
+    prices.write.option("header", True).csv(path)
+    return src.read_price_csv(spark, path, series_col="series_key", malformed="malformed")
+
+
+def q_csv_cpi_fill(spark, sf):
+    """The price index written as CSV and read back, joined to the ledgers' periods."""
+    path = _folder(spark, "cpi-csv")
+    src.orders_cpi(spark, sf).select(F.col("period").alias("Date"), F.col("cpi").alias("IPC")).write.option("header", True).csv(path)
+    j = ledger.with_cpi(_monthly(spark, sf), ledger.prepare_cpi(src.read_cpi_csv(spark, path)), prepared=True)
+    return j.select("series_key", "period", "cpi_raw", "cpi")
+
+
+def q_text_files(spark, sf):
+    """One text file for each document, read back beside files of another kind."""
+    path = _folder(spark, "texts")
+    write_text_files(_documents(spark, sf), path)
+    _benchmark(spark, sf).withColumn("doc_id", F.lit(-1)).write.mode("append").partitionBy("doc_id").json(path)
+    return read_text_files(spark, path).select("doc_id", "text")
+
+
 # --- periods ---------------------------------------------------------------
 
 def q_date_spine(spark, sf):
@@ -185,6 +238,11 @@ def q_state_metrics(spark, sf):
     return m.select("series_key", "total_invested", _r("portfolio_peak", MONEY_ROUND))
 
 
+def q_state_metrics_absent(spark, sf):
+    """A ledger without its value column counts as 0."""
+    return kpi.state_metrics(_ledger_fixed(spark, sf).drop("value"))
+
+
 def q_metrics_text(spark, sf):
     return kpi.metrics_text(kpi.state_metrics(_ledger_fixed(spark, sf)))
 
@@ -218,6 +276,32 @@ def _question_vectors(spark, sf):
     return e.select(F.col("_qk.conv_id").alias("conv_id"), F.col("_qk.turn").alias("turn"), "embedding")
 
 
+def q_knn_appended(spark, sf):
+    """Neighbours of all questions after the benchmark was added to the written index: only what was added is searched."""
+    path, before = _folder(spark, "index"), _folder(spark, "neighbours")
+    retrieval.write_index(_documents(spark, sf), path)
+    asked = _question_vectors(spark, sf)
+    neighbours.knn(asked, spark.read.parquet(path), q_keys=["conv_id", "turn"], mark="mark").write.parquet(before)
+    more = _benchmark(spark, sf).select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    retrieval.write_index(more, path, mode="append")
+    found = neighbours.knn_appended(spark.read.parquet(before), asked, retrieval.index_of(more), q_keys=["conv_id", "turn"], mark="mark")
+    return found.select("conv_id", "turn", "rank", "doc_id", "dist")
+
+
+def _length_encoder(texts):
+    """A deterministic stand-in for a model: counts of some characters, and one."""
+    import numpy as np
+    import pyarrow.compute as pc
+    return np.stack([*[pc.count_substring(texts, c).to_numpy() for c in "aeiou "], np.ones(len(texts))], axis=1)
+
+
+def q_encode_hook(spark, sf):
+    """Vectors of an encoder given by the caller."""
+    v = vectors.encode_with(_documents(spark, sf), _length_encoder, 7)
+    return v.select("doc_id", F.posexplode("embedding").alias("place", "value")).select(
+        "doc_id", F.col("place").cast("bigint").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 def q_knn_small_corpus(spark, sf):
     idx = retrieval.index_of(_benchmark(spark, sf), d_key="item_id")
     return vectors.knn(_question_vectors(spark, sf), idx, k=SMALL_CORPUS_K, q_keys=["conv_id", "turn"],
@@ -281,6 +365,16 @@ def q_plan_batch(spark, sf):
     return _snapshot(backtest.backtest(plans, src.lineitem_prices(spark, sf)), "plan_id")
 
 
+def q_plan_batch_week(spark, sf):
+    """A weekly plan for every customer on the events of a user, which starts and ends at any hour."""
+    n = F.col("c_custkey")
+    begin = F.timestamp_add("HOUR", (n % 450).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    plans = spark.read.parquet(f"{sf}/customer.parquet").select(
+        n.alias("plan_id"), (n % 150).cast("string").alias("series_key"), (100.0 + 10.0 * (n % 7)).alias("amount"),
+        begin.alias("start"), F.timestamp_add("HOUR", (100 + n % 300).cast("int"), begin).alias("end"), ((n % 10) / 100.0).alias("annual"))
+    return _snapshot(backtest.backtest(plans, src.events_prices(spark, sf), unit="week", unique_ts=True), "plan_id")
+
+
 def q_kpi_labels_plus(spark, sf):
     """Labels in the reference's own form, with a plus before every ROI."""
     return kpi.kpi_labels(kpi.kpi_snapshot(_ledger_fixed(spark, sf)), roi_sign="always_plus")
@@ -307,6 +401,16 @@ QUERIES: dict[str, Query] = {
     "price_scan_keys": q_price_scan_keys,
     "backtest_range": q_backtest_range,
     "plan_batch": q_plan_batch,
+    "plan_batch_week": q_plan_batch_week,
+    "fallback_by_series": q_fallback_by_series,
+    "fallback_empty_primary": q_fallback_empty_primary,
+    "fallback_primary": q_fallback_primary,
+    "csv_prices": q_csv_prices,
+    "csv_cpi_fill": q_csv_cpi_fill,
+    "text_files": q_text_files,
+    "knn_appended": q_knn_appended,
+    "encode_hook": q_encode_hook,
+    "state_metrics_absent": q_state_metrics_absent,
     "kpi_labels_plus": q_kpi_labels_plus,
     "doc_retrieval_blocks": q_doc_retrieval_blocks,
     "doc_retrieval_appended": q_doc_retrieval_appended,

@@ -97,28 +97,61 @@ def in_time_order(prices: DataFrame, key: str = "series_key", ts: str = "ts") ->
     return prices.orderBy(key, ts)
 
 
-def read_price_csv(spark: SparkSession, path: str, series_key: str = "default",
-                   date_col: str = "Date", price_col: str = "Close") -> DataFrame:
+CORRUPT = "_corrupt_record"
+#: Rows with bad cells: keep them with NULLs, or fail.
+ON_BAD = ("null", "error")
+
+
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header as text cells, without inference, and the raw line of a row with too few or too many
+    cells in ``_corrupt_record``."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    # without column pruning, as a row's cells are counted only where all are parsed
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", False).schema(schema).csv(path))
+
+
+def _cell(name: str, kind: str) -> tuple[Column, Column]:
+    """A cell's value, and whether it is filled with something that is not of that kind."""
+    text = F.trim(F.col(name))
+    value = text.try_cast(kind)
+    return value, text.isNotNull() & (text != "") & value.isNull()
+
+
+def _typed(raw: DataFrame, cells: dict[str, tuple[str, str]], malformed: str | None, on_bad: str, keep: Sequence[Column] = ()) -> DataFrame:
+    if on_bad not in ON_BAD:
+        raise ValueError(f"on_bad must be one of {ON_BAD}, got {on_bad!r}")
+    read = {out: _cell(name, kind) for out, (name, kind) in cells.items()}
+    bad = F.col(CORRUPT).isNotNull()
+    for _, wrong in read.values():
+        bad = bad | wrong
+    values = {out: nan_to_null(v) if cells[out][1] == "double" else v for out, (v, _) in read.items()}
+    if on_bad == "error":
+        fail = F.raise_error(F.concat(F.lit("malformed CSV row: "), F.coalesce(CORRUPT, F.concat_ws(",", *[name for name, _ in cells.values()]))))
+        values = {out: F.when(bad, fail.cast(cells[out][1])).otherwise(v) for out, v in values.items()}
+    flag = [bad.alias(malformed)] if malformed else []
+    return raw.select(*keep, *[v.alias(out) for out, v in values.items()], *flag)
+
+
+def read_price_csv(spark: SparkSession, path: str, series_key: str = "default", date_col: str = "Date", price_col: str = "Close",
+                   series_col: str | None = None, malformed: str | None = None, on_bad: str = "null") -> DataFrame:
     """A price CSV with a parsed date column (``Date,Close,...``).
 
-    All columns are read as text and cast, without inference.  Blank cells and the text ``NaN`` both come
-    out as NULL.
+    All columns are read as text and cast, without inference.  Blank cells and the text ``NaN`` come out
+    as NULL.  A cell that is no date or no number, and a row with too few or too many cells, is malformed:
+    its bad cells are NULL and the column named by ``malformed`` says so, or with ``on_bad="error"`` the
+    query fails.  The series is one for the whole file, or the column ``series_col``.
     """
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("nanValue", "NaN").csv(path))
-    return raw.select(
-        F.lit(series_key).alias("series_key"),
-        F.to_timestamp_ntz(F.col(date_col)).alias("ts"),
-        nan_to_null(F.col(price_col).cast("double")).alias("price"),
-    )
+    key = F.col(series_col) if series_col else F.lit(series_key)
+    return _typed(_read_csv(spark, path), {"ts": (date_col, "timestamp_ntz"), "price": (price_col, "double")}, malformed, on_bad,
+                  [key.alias("series_key")])
 
 
-def read_cpi_csv(spark: SparkSession, path: str, date_col: str = "Date",
-                 value_col: str = "IPC") -> DataFrame:
-    """The price-index table ``Date,IPC`` -> ``(period date, cpi double)``."""
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(F.to_date(F.col(date_col)).alias("period"),
-                      nan_to_null(F.col(value_col).cast("double")).alias("cpi"))
+def read_cpi_csv(spark: SparkSession, path: str, date_col: str = "Date", value_col: str = "IPC",
+                 malformed: str | None = None, on_bad: str = "null") -> DataFrame:
+    """The price-index table ``Date,IPC`` -> ``(period date, cpi double)``; bad cells as in ``read_price_csv``."""
+    return _typed(_read_csv(spark, path), {"period": (date_col, "date"), "cpi": (value_col, "double")}, malformed, on_bad)
 
 
 def empty_prices(spark: SparkSession) -> DataFrame:
@@ -154,6 +187,33 @@ def with_fallback(spark: SparkSession, primary: Callable[[], DataFrame],
     return told(df.where(F.col("ts") >= _lit_ts(start)) if start is not None else df, "backup")
 
 
+def fallback_by_series(spark: SparkSession, primary: Callable[[], DataFrame], backup: Callable[[], DataFrame], start=None,
+                       origin: str = "origin") -> DataFrame:
+    """S3 for many series: each series comes from the primary if it has a row there, and else from the backup,
+    trimmed to ``start``.
+
+    The column ``origin`` tells which, series by series.  A source that Spark cannot analyse has no rows.
+    The backup's rows meet one row for each series of the primary, in a left anti join; the null series
+    counts as one.  No job runs here.
+    """
+    def source(read: Callable[[], DataFrame]) -> DataFrame | None:
+        try:
+            return read()
+        except AnalysisException:
+            return None
+
+    first, second = source(primary), source(backup)
+    if second is not None and start is not None:
+        second = second.where(F.col("ts") >= _lit_ts(start))
+    if first is not None and second is not None:
+        served = first.select(F.col("series_key").alias("__served")).distinct()
+        second = second.join(served, F.col("series_key").eqNullSafe(F.col("__served")), "left_anti")
+    told = [df.withColumn(origin, F.lit(name)) for df, name in ((first, "primary"), (second, "backup")) if df is not None]
+    if not told:
+        return empty_prices(spark).withColumn(origin, F.lit("empty"))
+    return told[0].unionByName(told[1], allowMissingColumns=True) if len(told) == 2 else told[0]
+
+
 # ---------------------------------------------------------------------------
 # Stand-in series on the driver-generated test tables
 # ---------------------------------------------------------------------------

@@ -1,0 +1,94 @@
+"""CSV files, text files, fallback by series, appended neighbours, transcripts with nulls."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF0001
+from tallyspark.operators import neighbours, retrieval, transcripts
+from tallyspark.sources import prices as src
+from tallyspark.sources.text import read_text_files, write_text_files
+
+PRICES = "series_key string, ts timestamp_ntz, price double"
+
+
+def test_malformed_and_blank_cells(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("Date,Close,Volume\n2024-01-01,1.5,9\n2024-01-02,,9\n2024-01-03,NaN,9\nsoon,2.5,9\n2024-01-05,much,9\n"
+                    "2024-01-06,3.5\n2024-01-07,4.5,9,9,9\n,5.5,9\n")
+    got = src.read_price_csv(spark, str(path), malformed="bad").collect()
+    day = lambda n: dt.datetime(2024, 1, n)
+    assert sorted(((r.ts, r.price, r.bad) for r in got), key=str) == sorted(
+        [(day(1), 1.5, False), (day(2), None, False), (day(3), None, False), (None, 2.5, True), (day(5), None, True),
+         (day(6), 3.5, True), (day(7), 4.5, True), (None, 5.5, False)], key=str)
+    assert src.read_price_csv(spark, str(path)).columns == ["series_key", "ts", "price"]
+    with pytest.raises(Exception, match="malformed CSV row"):
+        src.read_price_csv(spark, str(path), on_bad="error").collect()
+    with pytest.raises(ValueError):
+        src.read_cpi_csv(spark, str(path), on_bad="drop")
+
+
+def test_cpi_csv_with_bad_cells(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("Date,IPC\n2024-01-01,100.5\n2024-02-01,x\n2024-03-01, 101 \n")
+    got = src.read_cpi_csv(spark, str(path), malformed="bad").orderBy("period").collect()
+    assert [(r.period.month, r.cpi, r.bad) for r in got] == [(1, 100.5, False), (2, None, True), (3, 101.0, False)]
+
+
+def test_fallback_by_series(spark):
+    at = dt.datetime(2024, 1, 1)
+    first = spark.createDataFrame([("a", at, None), (None, at, 1.0)], PRICES)
+    second = spark.createDataFrame([("a", at, 2.0), ("b", at, 3.0), ("b", dt.datetime(2023, 1, 1), 4.0), (None, at, 5.0)], PRICES)
+
+    def missing():
+        return spark.read.parquet("/no/such/table")
+
+    def rows(*sources, **kw):
+        return sorted(((r.series_key, r.price, r.origin) for r in src.fallback_by_series(spark, *sources, **kw).collect()), key=str)
+
+    assert rows(lambda: first, lambda: second, start="2024-01-01") == sorted(
+        [("a", None, "primary"), (None, 1.0, "primary"), ("b", 3.0, "backup")], key=str)
+    assert {r[2] for r in rows(lambda: first.limit(0), lambda: second)} == {"backup"} == {r[2] for r in rows(missing, lambda: second)}
+    assert {r[2] for r in rows(lambda: first, missing)} == {"primary"}
+    assert rows(missing, missing) == []
+
+
+def test_text_files_round_trip(spark, tmp_path):
+    texts = {1: "one\ntwo\n", 2: "", 3: "\n", None: "ñ 漢", 5: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("value", F.lit("x"))
+    path = str(tmp_path / "texts")
+    write_text_files(docs, path)
+    (tmp_path / "texts" / "doc_id=2" / "other.md").write_text("no")
+    (tmp_path / "texts" / "doc_id=2" / "OTHER.TXT").write_text("no")
+    got = read_text_files(spark, path).collect()
+    assert {r.doc_id: r.text for r in got} == {k: t or "" for k, t in texts.items()}
+    assert len(got) == 5 and all(r.file.endswith(".txt") for r in got)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_appended_neighbours_equal_a_full_search(spark, tmp_path, metric):
+    """The old corpus is not scanned again."""
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
+    old, new = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id = 1"))
+    path = str(tmp_path / "old")
+    retrieval.write_index(old, path)
+    asked = retrieval.index_of(docs.limit(30)).select(F.when(F.col("doc_id") > 0, F.col("doc_id")).alias("q"), "embedding")
+    stored = str(tmp_path / "stored")
+    neighbours.knn(asked, spark.read.parquet(path), 4, metric, ["q"], mark="mark").write.parquet(stored)
+    got = neighbours.knn_appended(spark.read.parquet(stored), asked, retrieval.index_of(new), 4, metric, ["q"], mark="mark")
+    want = neighbours.knn(asked, retrieval.index_of(old.unionByName(new)), 4, metric, ["q"], mark="mark")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert path not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transcripts_keep_every_turn(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    held = spark.createDataFrame([(1, 0, "user", "a"), (None, 4, "user", "b")], schema)
+    new = spark.createDataFrame([(1, 1, None, "c"), (None, 1, "user", None), (None, None, "user", "first"), (2, 1, None, None)], schema)
+    got = transcripts.append_turns(held, new, order_col="turn")
+    assert sorted(((r.conv_id, r.turn, r.role, r.text) for r in got.collect()), key=str) == sorted(
+        [(1, 0, "user", "a"), (1, 1, None, "c"), (None, 4, "user", "b"), (None, 5, "user", "first"), (None, 6, "user", None), (2, 0, None, None)], key=str)
+    for chunked in (True, False):
+        lines = {r.conv_id: (r.n_turns, r.transcript) for r in transcripts.replay(got, chunked=chunked).collect()}
+        assert lines == {1: (2, "user: a\n: c"), None: (3, "user: b\nuser: first\nuser: "), 2: (1, ": ")}
