@@ -183,8 +183,12 @@ def join_block(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(docs, pa.int64()), lists], ["doc_id", "ids"])
 
 
-def encode_words(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id long, ids array<int>)`` of each row of ``docs``, by the rank file at ``path``."""
+def encode_words(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, key: str = "doc_id", text: str = "text",
+                 decoded: bool = False) -> DataFrame:
+    """``(doc_id long, ids array<int>)`` of each row of ``docs``, by the rank file at ``path``.
+
+    ``decoded`` adds the bytes that the ids stand for, as ``decode_ids`` does, in the same task.
+    """
     spark = docs.sparkSession
     arrow_batches(spark, BLOCK_ROWS, BLOCK_BYTES)
     buckets = shuffle_partitions(spark)
@@ -205,7 +209,26 @@ def encode_words(docs: DataFrame, path: str, pattern: str = BYTE_PATTERN, key: s
 
     words = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(explode, TRAVEL)
     ids = words.repartition(buckets, "slot").mapInArrow(encode, TRAVEL)
-    return ids.groupBy("block").applyInArrow(join_block, "doc_id long, ids array<int>")
+
+    def join(table: pa.Table) -> pa.Table:
+        out = join_block(table)
+        if decoded:
+            out = out.append_column("decoded", decode_lists(out["ids"].chunk(0), kept(TokenBytes, path)))
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return ids.groupBy("block").applyInArrow(join, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+
+
+def decode_lists(lists: pa.Array, table: TokenBytes) -> pa.Array:
+    """The bytes of each list of ids: ids joined with the table of token bytes, whose row numbers they are."""
+    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    each = table.size[flat]
+    data = gather(table.begin[flat], each, table.data)
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(count)])]
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    return pc.if_else(lists.is_valid(), out, None).cast(pa.binary())
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -213,13 +236,6 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decod
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        table = kept(TokenBytes, path)
-        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-        each = table.size[flat]
-        data = gather(table.begin[flat], each, table.data)
-        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(count)])]
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-        return pc.if_else(lists.is_valid(), out, None).cast(pa.binary())
+        return decode_lists(lists, kept(TokenBytes, path))
 
     return encoded.withColumn(to, decode(F.col(ids)))

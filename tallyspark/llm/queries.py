@@ -92,8 +92,7 @@ def op10_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text from distinct words encoded once, and the bytes they decode to, as digests."""
     path = public_tokenizers.path(MULTI_BPE)
-    ids = distinct_words.encode_words(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return distinct_words.decode_ids(ids, path).select(
+    return distinct_words.encode_words(documents(spark, sf_dir), path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
