@@ -44,7 +44,7 @@ from tallyspark.llm.units import cut_units, gather
 #: Texts may be cut at the safe places of ``units`` under this pattern (a fixed value of byte-level BPE).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows and bytes of a block, and distinct words that a task remembers.
-BLOCK_ROWS, BLOCK_BYTES, KNOWN_WORDS = 1 << 14, 12 << 20, 1 << 20
+BLOCK_ROWS, BLOCK_BYTES, KNOWN_WORDS = 1 << 14, 16 << 20, 1 << 20
 #: Rows on their way: a block's positions, or its words or ids of one bucket.
 POSITIONS, WORDS = 0, 1
 TRAVEL = "slot long, block long, kind int, docs array<long>, sizes array<long>, numbers binary, lengths binary, data binary"
