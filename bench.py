@@ -2,8 +2,8 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 BENCH_RUNS=3 python bench.py
 
-Each query is built (including its small driver-side probes such as the CPI
-validation and the bounded question collect) and executed to completion with
+Each query is built (including the tables that a search writes before its plan
+is complete) and executed to completion with
 the ``noop`` sink, so every row is computed but nothing is pulled to the
 driver.  One warm-up run, then the median of ``BENCH_RUNS`` runs.
 """
