@@ -73,7 +73,7 @@ def test_retrieval_never_shuffles_the_corpus(spark):
     qs = retrieval.questions_from_conversations(spark.read.parquet(f"{SF0001}/conversations.parquet"))
     ctx = retrieval.retrieve_context(qs, docs)
     plan = ctx._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("RoundRobinPartitioning") == 2 and "MapInArrow" in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "MapInArrow" in plan
     assert "Exchange hashpartitioning(doc_id" not in plan and "Exchange rangepartitioning" not in plan
     assert not [x for x in plan.split("\n") if "Sort [" in x and "vectors" in x]
     assert ctx.count() == qs.count()
