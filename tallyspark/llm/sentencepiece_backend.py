@@ -8,6 +8,7 @@ fallback.  ``Backend`` encodes batches with the library's threads.
 A *unit* is a run of markers and what follows it up to the next marker.  No
 piece goes on with a marker after another character (``build`` checks that), so
 units are encoded alone and a worker keeps the answers in a bounded table.
+New units are joined to long texts by a character that no longer piece has; the flat ids are split there again, so that no object is made a unit.
 Parity: each new unit is also encoded by the SentencePiece library, and a row
 says whether all its units agreed.
 
@@ -37,6 +38,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE_UNITS, CACHED_CHARS = 500_000, 64
 UNIT = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+#: Stands between new units, and the characters of one joined text.
+BETWEEN, JOINED_CHARS = "\x1e", 1 << 16
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -154,8 +157,26 @@ class Backend:
         # a unit with its marker is what the library makes of the unit's text
         self.by_unit = self.model.dummy_prefix and self.model.escape and not any(
             kind == USER_DEFINED for _, _, kind in self.model.pieces)
+        self.split_id = self._separator()
         self.known: dict[str, tuple[bytes, bool, str]] = {}  # ids, parity, decoded
 
+    def _separator(self) -> int | None:
+        """The separator's id, if texts are not normalised and no longer piece holds the separator."""
+        from tokenizers import Regex, pre_tokenizers
+        if not (self.by_unit and not self.model.charsmap and not self.model.one_space):
+            return None
+        own = {BETWEEN: NORMAL, f"<0x{ord(BETWEEN):02X}>": BYTE}  # a piece, or else its byte
+        number = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if own.get(p) == kind}
+        if not number or any(BETWEEN in p and p != BETWEEN for p, _, _ in self.model.pieces):
+            return None
+        self.bulk = build(self.model)
+        self.bulk.normalizer = None
+        self.bulk.pre_tokenizer = pre_tokenizers.Split(
+            Regex(f"{BETWEEN}|{MARKER}+[^{MARKER}{BETWEEN}]*|[^{MARKER}{BETWEEN}]+"), "isolated")
+        found = number.get(BETWEEN, min(number.values()))
+        one = self.bulk.encode(f"{MARKER}a{BETWEEN}{MARKER}", add_special_tokens=False).ids
+        return found if one.count(found) == 1 else None
+
     def normalize(self, text: str) -> str:
         simple = self.by_unit and not self.model.charsmap and not self.model.one_space
         if simple:
@@ -169,17 +190,64 @@ class Backend:
         new = list(units.difference(self.known))
         if not new:
             return self.known
-        mine = [e.ids for e in self.units.encode_batch_fast(new, add_special_tokens=False)]
-        agree = [True] * len(new)  # unless compared here, whole texts are compared
-        if self.by_unit:
-            # the dummy prefix puts the first marker back; a lone marker is the prefix of a space
-            theirs = self.reference.encode([u[1:].replace(MARKER, " ") for u in new], num_threads=1)
-            agree = [a == (b if u != MARKER else [self.reference.piece_to_id(MARKER)]) for u, a, b in zip(new, mine, theirs)]
-        shown = self.units.decode_batch(mine, skip_special_tokens=False)
-        found = {u: (np.array(i, "<u4").tobytes(), same, t) for u, i, same, t in zip(new, mine, agree, shown)}
-        self.known.update((u, v) for u, v in found.items() if len(u) <= CACHED_CHARS)
-        return {u: self.known[u] if u in self.known else found[u] for u in units} if any(
-            len(u) > CACHED_CHARS for u in new) else self.known
+        # units with the separator, or very long ones, and models without a byte for it go one by one
+        plain = [u for u in new if len(u) <= CACHED_CHARS and u[0] == MARKER and BETWEEN not in u] if self.split_id is not None else []
+        found = self._joined(plain) if plain else {}
+        rest = [u for u in new if u not in found] if len(plain) < len(new) else []
+        if rest:
+            mine = [e.ids for e in self.units.encode_batch_fast(rest, add_special_tokens=False)]
+            agree = [True] * len(rest)  # unless compared here, whole texts are compared
+            if self.by_unit:
+                # the dummy prefix puts the first marker back; a lone marker is the prefix of a space
+                theirs = self.reference.encode([u[1:].replace(MARKER, " ") for u in rest], num_threads=1)
+                agree = [a == (b if u != MARKER else [self.reference.piece_to_id(MARKER)])
+                         for u, a, b in zip(rest, mine, theirs)]
+            shown = self.units.decode_batch(mine, skip_special_tokens=False)
+            found.update((u, (np.array(i, "<u4").tobytes(), same, t)) for u, i, same, t in zip(rest, mine, agree, shown))
+        long = {u for u in rest if len(u) > CACHED_CHARS}
+        if not long:
+            self.known.update(found)
+            return self.known
+        self.known.update((u, v) for u, v in found.items() if u not in long)
+        return {u: self.known[u] if u in self.known else found[u] for u in units}
+
+    def _joined(self, units: list[str]) -> dict[str, tuple[bytes, bool, str]]:
+        """Ids, parity and decoded text by unit, of units that start with a marker and have no separator inside."""
+        parts, part, size = [], [], 0
+        for u in units:
+            part.append(u)
+            size += len(u) + 1
+            if size >= JOINED_CHARS:
+                parts.append(part)
+                part, size = [], 0
+        if part:
+            parts.append(part)
+        texts = [BETWEEN.join(p) for p in parts]
+        out = {}
+        encoded = self.bulk.encode_batch_fast(texts, add_special_tokens=False)
+        for part, text, e in zip(parts, texts, encoded):
+            ids = e.ids
+            shown = self.units.decode(ids, skip_special_tokens=False).split(BETWEEN)
+            mine, ends = self._split(ids)
+            # the dummy prefix puts the first marker back
+            theirs, there = self._split(self.reference.encode(text[1:].replace(MARKER, " ")))
+            if len(ends) != len(part) or len(there) != len(part) or len(shown) != len(part):
+                continue  # they are asked one by one
+            data, begins = mine.tobytes(), np.concatenate([[0], ends[:-1] + 1])
+            if len(mine) == len(theirs) and (mine == theirs).all():
+                same = [True] * len(part)
+            else:
+                other, starts = theirs.tobytes(), np.concatenate([[0], there[:-1] + 1])
+                same = [data[4 * a:4 * b] == other[4 * c:4 * d] for a, b, c, d in
+                        zip(begins.tolist(), ends.tolist(), starts.tolist(), there.tolist())]
+            out.update((u, (data[4 * a:4 * b], s, t)) for u, a, b, s, t in
+                       zip(part, begins.tolist(), ends.tolist(), same, shown))
+        return out
+
+    def _split(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids as an array, and the places where a unit ends."""
+        ids = np.array(ids, "<u4")
+        return ids, np.concatenate([np.flatnonzero(ids == self.split_id), [len(ids)]])
 
     def run(self, texts: list[str]) -> list[tuple[np.ndarray, bool, str]]:
         """Ids of each text, whether the SentencePiece library gives the same, and the ids decoded."""
