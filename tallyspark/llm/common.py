@@ -102,8 +102,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (u long, v long)``.
 
     Alternating large-star and small-star steps: every step is a grouped
-    minimum and a join on the node, so a node with very many links is split by
-    the skew join, and no component is ever gathered.  Returns ``(node, root)``
+    minimum and a join on the node.  The minima are written first, as Spark splits
+    a node with very many links only where shuffles are right below the join, and
+    small ones are broadcast by their size; no component is ever gathered.  Returns ``(node, root)``
     for every node with a link to another one; root is the smallest node.
     """
     def down(df: DataFrame) -> DataFrame:
@@ -117,9 +118,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(written(low, "minima"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.filter("u <> v").distinct(), "stars")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u")
         cur = written(down(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                            .unionByName(small.select("u", F.col("m").alias("v")))), "edges")

@@ -41,8 +41,10 @@ from tallyspark.llm.common import NULL_KEY, arrow_batches, components, local_roo
 SHINGLE, SIMILARITY = 7, 0.8
 #: A pair at the threshold shares a band with probability 0.99, one of similarity 0.9 with 0.99999.
 BANDS, ROWS = 12, 5
-#: Lines of a tile, and characters hashed at once.
-TILE, CHARS = 2048, 1 << 20
+#: Lines of a tile, and characters hashed at once: what a core's cache holds.
+TILE, CHARS = 2048, 1 << 16
+#: Characters of the small groups that are verified at once.
+GROUP_CHARS = 1 << 18
 _draw = np.random.default_rng(3)
 SCALE = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFT = _draw.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)
@@ -91,10 +93,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
     hashes, starts = shingle_hashes(lines)
     low = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
     out = np.empty((len(lines), BANDS), np.uint64)
+    value = np.empty_like(low)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            value = low * SCALE[k] + SHIFT[k]
+            np.multiply(low, SCALE[k], out=value)
+            value += SHIFT[k]
             key = (key ^ np.minimum.reduceat(value, starts)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
         out[:, band] = key
@@ -109,11 +113,61 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def verified_links(lines: list[str], tile: np.ndarray, similarity: float) -> list[int]:
+def near_first(lines: list[str], first: np.ndarray, similarity: float) -> np.ndarray:
+    """For each line whether it is near the first line of its group, for many groups at once.
+
+    ``first`` is the number of the group's first line; groups come one after another.
+    """
+    hashes, starts = shingle_hashes(lines)
+    line = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(hashes))))
+    number = np.cumsum(first == np.arange(len(lines))) - 1
+    group = number.astype(np.int16 if number[-1] < 1 << 15 else np.int64)[line]
+    order = np.argsort(hashes, kind="stable")  # lines stay in order inside a hash
+    order = order[np.argsort(group[order], kind="stable")]
+    hashes, line, group = hashes[order], line[order], group[order]
+    run = np.ones(len(hashes), bool)  # first of its group and hash
+    run[1:] = (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])
+    fresh = run.copy()  # first of its line and hash
+    fresh[1:] |= line[1:] != line[:-1]
+    begins = line[run]
+    shared = (begins == first[begins])[np.cumsum(run) - 1]
+    size = np.bincount(line[fresh], minlength=len(lines))
+    common = np.bincount(line[fresh & shared], minlength=len(lines))
+    return common / (size + size[first] - common) >= similarity
+
+
+def linked_groups(groups: list[tuple[list[int], list[str], list[int]]], similarity: float) -> list[tuple[int, int]]:
+    """Links ``(node, node)`` of groups ``(nodes, lines, tiles)`` whose pairs of at least ``similarity`` are joined.
+
+    Groups of one tile are compared with their first line at once; where a line
+    is not near it, the group's other pairs are verified one by one.
+    """
+    out, single = [], []
+    for nodes, lines, tiles in groups:
+        tile = np.array(tiles)
+        if tile.min() == tile.max():
+            single.append((nodes, lines, tile))
+        else:
+            out += [(nodes[i], nodes[r]) for i, r in enumerate(verified_links(lines, tile, similarity)) if i != r]
+    if not single:
+        return out
+    sizes = np.array([len(nodes) for nodes, _, _ in single])
+    starts = np.cumsum(sizes) - sizes
+    near = near_first([x for _, lines, _ in single for x in lines], np.repeat(starts, sizes), similarity)
+    for (nodes, lines, tile), start, whole in zip(single, starts.tolist(), np.logical_and.reduceat(near, starts).tolist()):
+        if whole:
+            out += [(x, nodes[0]) for x in nodes[1:]]
+        elif len(lines) > 2:
+            root = [0 if x else i for i, x in enumerate(near[start:start + len(nodes)].tolist())]
+            out += [(nodes[i], nodes[r]) for i, r in enumerate(verified_links(lines, tile, similarity, root)) if i != r]
+    return out
+
+
+def verified_links(lines: list[str], tile: np.ndarray, similarity: float, root: list[int] | None = None) -> list[int]:
     """Smallest member of each line's set, joining pairs of at least ``similarity``.
 
     With two tiles, pairs inside one of them are left to other groups.  Pairs
-    that are joined already need no verification.
+    that are joined already, or in ``root``, need no verification.
     """
     sets = []
     for start in range(0, len(lines), 256):
@@ -122,7 +176,7 @@ def verified_links(lines: list[str], tile: np.ndarray, similarity: float) -> lis
         sets += [np.unique(x) for x in np.split(hashes, at[1:])]
     size = np.array([len(x) for x in sets])
     order = np.argsort(size, kind="stable")
-    root = list(range(len(lines)))
+    root = root or list(range(len(lines)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -186,7 +240,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def line_components(docs: DataFrame, seen: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """``(line, root)`` of all lines that have a near copy."""
+    """``(line, root)`` of all lines that have a near copy, roots among them."""
     member = (seen.filter("bands is not null").select("line", F.explode("bands").alias("band")))
     # one row a band: how many nodes and which set of them, without gathering them
     bucket = (member.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high")
@@ -216,45 +270,52 @@ def line_components(docs: DataFrame, seen: DataFrame, key: str, text: str, simil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a group is a run of rows; its last rows may come with the next batch
-        group, lines, nodes, tiles, found = None, [], [], [], []
+        group, lines, nodes, tiles, waiting, chars = None, [], [], [], [], 0
 
-        def close():
-            if len(lines) > 1:
-                root = verified_links(lines, np.array(tiles), similarity)
-                found.extend((nodes[i], nodes[r]) for i, r in enumerate(root) if i != r)
+        def links() -> pa.RecordBatch:
+            found = linked_groups(waiting, similarity)
+            waiting.clear()
+            u, v = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
             for at, line, text, tile in zip(zip(*(batch.column(n).to_pylist() for n in names)),
                                             *(batch.column(n).to_pylist() for n in ("line", "text", "tile"))):
                 if at != group:
-                    close()
+                    if len(lines) > 1:
+                        waiting.append((nodes, lines, tiles))
+                        chars += sum(map(len, lines))
+                        if chars >= GROUP_CHARS:
+                            yield links()
+                            chars = 0
                     group, lines, nodes, tiles = at, [], [], []
                 lines.append(text)
                 nodes.append(line)
                 tiles.append(tile)
-            if found:
-                u, v = zip(*found)
-                found.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-        close()
-        if found:
-            u, v = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        if len(lines) > 1:
+            waiting.append((nodes, lines, tiles))
+        if waiting:
+            yield links()
 
     grouped = tiled.join(texts, "line").select("line", "tile", "text", *names).repartition(*names).sortWithinPartitions(*names)
     edges = grouped.mapInArrow(run, "u long, v long")
-    return components(edges).select(F.col("node").alias("line"), "root")
+    linked = components(edges).select(F.col("node").alias("line"), "root")
+    return linked.unionByName(linked.select(F.col("root").alias("line"), "root").distinct())
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id`` (nulls as ``NULL_KEY``), ``row`` (``row_hash``) and ``dropped``, the ascending places of lines that have an earlier near copy."""
     seen = written(occurrences(docs, key, text), "lines")
     roots = line_components(docs, seen, key, text, similarity)
-    at = seen.select("line", "doc_id", "row", "pos").join(roots, "line", "left").select(
-        F.coalesce("root", "line").alias("root"), "doc_id", "row", "pos")
     place = F.struct("doc_id", "row", "pos")
-    first = at.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    gone = at.join(first, "root").filter(place > F.col("first"))
+    # one row a line, then one a component: a join meets written tables only, so that hot lines and roots can be split
+    lines = seen.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).join(roots, "line", "left")
+    lines = written(lines.select("line", "root", "n", "first").filter("n > 1 or root is not null"), "firsts")
+    near = lines.filter("root is not null")
+    first = written(near.groupBy("root").agg(F.min("first").alias("first")), "roots")
+    begins = written(lines.filter("root is null").select("line", "first")
+                     .unionByName(near.select("line", "root").join(first, "root").select("line", "first")), "begins")
+    gone = seen.select("line", "doc_id", "row", "pos").join(begins, "line").filter(place > F.col("first"))
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
