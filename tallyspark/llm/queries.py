@@ -26,7 +26,8 @@ SLOTS = 4093
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Whether a row is kept from learning; a row without an id is not (no label can meet it)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

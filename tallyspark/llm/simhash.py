@@ -141,14 +141,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose key is their group's smallest; of rows with the same key and fingerprint one.
 
-    A row without a key stays only where its whole group has none.
+    A row without a key stays only where its whole group has none.  Rows travel as
+    one struct, so that columns of any name come back as they were.
     """
     arrow_batches(docs.sparkSession)
     # a key alone does not tell rows apart: the fingerprint goes along with its row
-    rows = written(docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
-                   .withColumn("__fp", print_udf(width)(text)), "simhash")
-    prints = rows.select(F.col(key).cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
+    rows = written(docs.select(F.struct(*docs.columns).alias("__row"),
+                               F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("__key"),
+                               print_udf(width)(text).alias("__fp")), "simhash")
+    prints = rows.select(F.col(f"__row.`{key}`").cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
     stay = (prints.join(print_groups(prints, radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("fp").alias("__fp"), F.coalesce("doc_id", F.lit(NULL_KEY)).alias("__key")).distinct())
     names = ["__fp", "__key"]
-    return rows.join(stay, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(stay, names, "left_semi").dropDuplicates(names).select("__row.*")
