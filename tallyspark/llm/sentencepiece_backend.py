@@ -190,8 +190,9 @@ class Backend:
         new = list(units.difference(self.known))
         if not new:
             return self.known
-        # units with the separator, or very long ones, and models without a byte for it go one by one
-        plain = [u for u in new if len(u) <= CACHED_CHARS and u[0] == MARKER and BETWEEN not in u] if self.split_id is not None else []
+        # a lone marker (nothing is left of it without the prefix), units with the separator, very long ones, and
+        # models without an id for it go one by one
+        plain = [u for u in new if len(u) <= CACHED_CHARS and u[0] == MARKER != u and BETWEEN not in u] if self.split_id is not None else []
         found = self._joined(plain) if plain else {}
         rest = [u for u in new if u not in found] if len(plain) < len(new) else []
         if rest:

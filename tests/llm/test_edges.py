@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from helpers import AWKWARD, awkward, crc, empty, no_labels
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
@@ -67,7 +67,8 @@ def test_sentencepiece_parity_property(text):
     assert decoded == sp.decode(want) and back.encode([text]) == [want]
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=400, deadline=None)
+@example(["\x1e "])
 @given(st.lists(st.lists(st.sampled_from(list("ab .é漢\n▁\x1e🙂") + ["the ", " of"]), max_size=12).map("".join), max_size=8))
 def test_sentencepiece_joined_units_equal_single_ones(texts):
     back, one = shared_backend("joined"), shared_backend("single")
