@@ -19,8 +19,7 @@ from tallyspark.llm.queries import BYTE_BPE, held_out
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's toxicity threshold."""
-    model = toxicity.fit(docs, labels(spark, sf_dir), allowed=~held_out())
-    rows = toxicity.scored(docs, model, column="__score")
+    rows, model = toxicity.fit_scored(docs, labels(spark, sf_dir), allowed=~held_out(), column="__score")
     return rows.filter(F.col("__score") < toxicity.threshold(model, F.col("lang"))).drop("__score")
 
 

@@ -54,9 +54,7 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text, learnt from the rows that are not held out."""
-    docs = documents(spark, sf_dir)
-    model = toxicity.fit(docs, labels(spark, sf_dir), allowed=~held_out())
-    out = toxicity.scored(docs.select("doc_id", "lang", "text"), model)
+    out, model = toxicity.fit_scored(documents(spark, sf_dir), labels(spark, sf_dir), allowed=~held_out(), keep=["doc_id", "lang"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"),
                       (F.col("score") >= toxicity.threshold(model, F.col("lang"))).alias("beyond_language_threshold"))
 
