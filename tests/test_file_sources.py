@@ -66,6 +66,24 @@ def test_text_files_round_trip(spark, tmp_path):
     assert len(got) == 5 and all(r.file.endswith(".txt") for r in got)
 
 
+def test_text_files_are_written_by_tasks(spark, tmp_path):
+    """No checksum file beside a text (each costs Hadoop's local file system more processes); odd keys and repeated ones as Spark writes them."""
+    texts = {"a/b": "one", "50%": "two\nthree", "ñ=:?*[x]{y}^\\": "four", "": "five", "\x01\x7f'\"#": "", "plain": None}
+    docs = spark.createDataFrame([*texts.items(), ("plain", "again")], "doc_id string, text string")
+    path, other = str(tmp_path / "texts"), str(tmp_path / "spark")
+    write_text_files(docs, path)
+    docs.select(F.coalesce("text", F.lit("")).alias("value"), "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(other)
+    got, want = [{r.doc_id: sorted(r.text.split("\n")) for r in read_text_files(spark, p, key_type="string").collect()} for p in (path, other)]
+    assert got == want and len(got) == len(texts)
+    assert {f.name for f in (tmp_path / "texts").iterdir()} == {f.name for f in (tmp_path / "spark").iterdir() if f.is_dir()}
+    assert not list((tmp_path / "texts").rglob("*.crc")) and len(list((tmp_path / "texts").rglob("*.txt"))) == len(texts)
+    with pytest.raises(FileExistsError):
+        write_text_files(docs, path)
+    with pytest.raises(Exception, match="lost"):
+        write_text_files(docs.withColumn("text", F.raise_error(F.lit("lost"))), str(tmp_path / "none"))
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["spark", "texts"]
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_appended_neighbours_equal_a_full_search(spark, tmp_path, metric):
     """The old corpus is not scanned again."""
