@@ -73,6 +73,8 @@ def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, leas
         joined[1:] = after[place[:-1]] == place[1:]
         if kind is not None:
             joined[1:] &= kind[1:] == kind[:-1]
+        if not joined.any():
+            return ~joined
         nth = np.arange(len(place))
         return (nth - np.maximum.accumulate(np.where(joined, 0, nth))) % 2 == 0
 
@@ -85,12 +87,15 @@ def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, leas
         kinds = np.unique(order[:reach][order[:reach] == order[len(order) - reach:]])
         if not len(kinds):
             return kinds, spots[:0], spots[:0]
-        # a table of hashes leaves few places to search
-        wanted = np.zeros(1 << 16, bool)
-        wanted[kinds * MIX >> np.uint64(48)] = True
-        few = np.flatnonzero(wanted[found * MIX >> np.uint64(48)])
-        at = np.minimum(np.searchsorted(kinds, found[few]), len(kinds) - 1)
-        hit = kinds[at] == found[few]
+        # a table of hashes finds most kinds, and leaves few places to search
+        table = np.zeros(1 << 18, np.int32)
+        table[kinds * MIX >> np.uint64(46)] = np.arange(1, len(kinds) + 1)
+        at = table[found * MIX >> np.uint64(46)]
+        few = np.flatnonzero(at)
+        at, asked = at[few].astype(np.int64) - 1, found[few]
+        missed = np.flatnonzero(kinds[at] != asked)
+        at[missed] = np.minimum(np.searchsorted(kinds, asked[missed]), len(kinds) - 1)
+        hit = kinds[at] == asked
         return kinds, spots[few[hit]], at[hit]
 
     kinds, place, at = frequent(np.flatnonzero(~last))
@@ -134,7 +139,8 @@ def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, leas
         keep = ~(touched[place] | gone[place])
         place, at = place[keep], at[keep]
         fresh, there, which = frequent(spots)
-        left, at = np.unique(at, return_inverse=True)
+        held = np.bincount(at, minlength=len(kinds)) > 0
+        left, at = np.flatnonzero(held), (np.cumsum(held) - 1)[at]
         place, at = np.concatenate([place, there]), np.concatenate([at, which + len(left)])
         kinds = np.concatenate([kinds[left], fresh])
         order = np.argsort(place, kind="stable")

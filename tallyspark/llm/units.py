@@ -24,7 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,11 @@ def cut_units(texts: pa.Array) -> pa.Array:
     return lists.take(pa.array(np.where(mask, len(clean) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)))
 
 
+def objects(strings: pa.Array) -> list:
+    """The strings (none null) as Python objects: ``to_pylist`` takes several times as long."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def gather(begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """``ids[b:b + n]`` for each ``b, n``, one after another."""
     ends = np.cumsum(size)
@@ -113,11 +118,6 @@ class Table:
         self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
 
-    def locate(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and number of the ids of strings that the table holds."""
-        at = np.fromiter(map(self.slots.__getitem__, strings), np.int64, len(strings))
-        return self.begins[at], self.sizes[at]
-
     def full(self, most: int) -> bool:
         return len(self.slots) > most or len(self.ids) > 16 * most
 
@@ -168,45 +168,52 @@ class UnitEncoder:
             ids.append(np.array(list(chain.from_iterable(found)), "<u4"))
         return np.array(sizes, np.int64), np.concatenate(ids)
 
-    def _recall(self, strings: list[str]) -> list[str]:
-        """Copy what the old table knows of these strings; the others."""
+    def _recall(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Copy what the old table knows of these strings; the places of those it knows, in the order copied, and of the others."""
         if not self.old.slots:
-            return strings
-        known = [s for s in strings if s in self.old.slots]
-        if not known:
-            return strings
-        begin, size = self.old.locate(known)
-        self.table.add(known, size, gather(begin, size, self.old.ids))
-        return [s for s in strings if s not in self.old.slots]
-
-    def _learn(self, units: list[str]) -> None:
-        """Add new distinct units: plain ones by their ranks, others by the whole tokenizer."""
-        new = pa.array(self._recall(units), pa.large_string())
+            return np.zeros(0, np.int64), np.arange(len(strings))
+        at = np.fromiter(map(self.old.slots.get, strings, repeat(-1)), np.int64, len(strings))
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            size = self.old.sizes[at[known]]
+            self.table.add([strings[i] for i in known.tolist()], size, gather(self.old.begins[at[known]], size, self.old.ids))
+        return known, np.flatnonzero(at < 0)
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Add new distinct units: plain ones by their ranks, others by the whole tokenizer; their slots."""
+        first = len(self.table.slots)
+        known, rest = self._recall(units)
+        new = pa.array(units if len(rest) == len(units) else [units[i] for i in rest.tolist()], pa.large_string())
         plain = pa.array(np.zeros(len(new), bool))
         if self.ranked:
             plain = pc.and_(pc.match_substring_regex(new, PLAIN_UNIT), pc.less_equal(pc.utf8_length(new), PLAIN_CHARS))
             if self.special:
                 plain = pc.and_not(plain, pc.match_substring_regex(new, self.special))
-        some = new.filter(plain)
-        if len(some):
-            word = pc.match_substring_regex(some, PLAIN_WORD)
-            found = list(map(self.ranked.encode_single_piece, some.filter(word).cast(pa.large_binary()).to_pylist()))
-            found += map(self.ranked.encode_ordinary, some.filter(pc.invert(word)).to_pylist())
-            some = pa.concat_arrays([some.filter(word), some.filter(pc.invert(word))]).to_pylist()
-            self.table.add(some, np.fromiter(map(len, found), np.int64, len(found)), np.array(list(chain.from_iterable(found)), "<u4"))
-        other = new.filter(pc.invert(plain)).to_pylist()
+        word = pc.and_(plain, pc.match_substring_regex(new, PLAIN_WORD))
+        mixed, odd = pc.and_not(plain, word), pc.invert(plain)
+        if pc.any(plain).as_py():
+            some, others = new.filter(word), new.filter(mixed)
+            found = list(map(self.ranked.encode_single_piece, objects(some.cast(pa.large_binary()))))
+            found += map(self.ranked.encode_ordinary, objects(others))
+            self.table.add(objects(pa.concat_arrays([some, others])), np.fromiter(map(len, found), np.int64, len(found)),
+                           np.array(list(chain.from_iterable(found)), "<u4"))
+        other = objects(new.filter(odd))
         if other:
             self.table.add(other, *self._ask(byte_groups(other)))
+        added = np.concatenate([known, *[rest[x.to_numpy(zero_copy_only=False)] for x in (word, mixed, odd)]])
+        slots = np.empty(len(units), np.int64)
+        slots[added] = np.arange(first, first + len(units))
+        return slots
 
     def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and number of the ids of each of some distinct units, and the ids they point into."""
         if self.table.full(self.most):
             self.old, self.table = self.table, Table()
-        slots = self.table.slots
-        new = [u for u in units if u not in slots]
-        if new:
-            self._learn(new)
-        return *self.table.locate(units), self.table.ids
+        at = np.fromiter(map(self.table.slots.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = self._learn([units[i] for i in missing.tolist()])
+        return self.table.begins[at], self.table.sizes[at], self.table.ids
 
     def encode(self, texts: pa.Array, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Token counts of the texts (nulls: empty), and all ids one after another."""
@@ -230,7 +237,7 @@ class UnitEncoder:
         lists = self._cut(texts)
         numbered = lists.flatten().dictionary_encode()
         index = numbered.indices.to_numpy()
-        begin, size, ids = self.lookup(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        begin, size, ids = self.lookup(objects(numbered.dictionary))
         each = size[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
