@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,6 @@ def row_hash(text: str) -> Column:
 
 def line_key(line: str) -> int:
     """Spark's ``xxhash64`` of the line."""
-    import xxhash
     key = xxhash.xxh64_intdigest(line.encode(), 42)
     return key - (1 << 64) if key >> 63 else key
 
@@ -70,14 +70,14 @@ def line_key(line: str) -> int:
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the lines, one line after another, and the lines' first places."""
     sizes = np.array([max(len(x), SHINGLE) for x in lines], np.int64)
-    chars = np.zeros(int(sizes.sum()), np.uint64)
     starts = np.cumsum(sizes) - sizes
-    text = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le"), "<u4")
-    chars[:] = text
+    chars = np.frombuffer("".join([x.ljust(SHINGLE, "\0") for x in lines]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    chars += np.uint64(1)
     n = len(chars) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h += (chars[i:n + i] + np.uint64(1)) * POWERS[i]
+    h = chars[:n] * POWERS[0]
+    one = np.empty_like(h)
+    for i in range(1, SHINGLE):
+        h += np.multiply(chars[i:n + i], POWERS[i], out=one)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -121,18 +121,22 @@ def near_first(lines: list[str], first: np.ndarray, similarity: float) -> np.nda
     hashes, starts = shingle_hashes(lines)
     line = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(hashes))))
     number = np.cumsum(first == np.arange(len(lines))) - 1
-    group = number.astype(np.int16 if number[-1] < 1 << 15 else np.int64)[line]
-    order = np.argsort(hashes, kind="stable")  # lines stay in order inside a hash
-    order = order[np.argsort(group[order], kind="stable")]
-    hashes, line, group = hashes[order], line[order], group[order]
-    run = np.ones(len(hashes), bool)  # first of its group and hash
-    run[1:] = (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])
-    fresh = run.copy()  # first of its line and hash
-    fresh[1:] |= line[1:] != line[:-1]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    value = np.zeros(len(hashes), np.int64)  # number of the hash
+    np.cumsum(hashes[1:] != hashes[:-1], out=value[1:])
+    # distinct hashes of the lines, by hash and line, so that a group's lines with the hash follow each other
+    bits = len(lines).bit_length()
+    both = np.sort(value << bits | line[order])
+    both = both[np.append(True, both[1:] != both[:-1])]
+    value, line = both >> bits, both & ((1 << bits) - 1)
+    group = number[line]
+    run = np.ones(len(line), bool)  # first of its group and hash
+    run[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
     begins = line[run]
     shared = (begins == first[begins])[np.cumsum(run) - 1]
-    size = np.bincount(line[fresh], minlength=len(lines))
-    common = np.bincount(line[fresh & shared], minlength=len(lines))
+    size = np.bincount(line, minlength=len(lines))
+    common = np.bincount(line[shared], minlength=len(lines))
     return common / (size + size[first] - common) >= similarity
 
 
@@ -173,7 +177,9 @@ def verified_links(lines: list[str], tile: np.ndarray, similarity: float, root:
     for start in range(0, len(lines), 256):
         part = lines[start:start + 256]
         hashes, at = shingle_hashes(part)
-        sets += [np.unique(x) for x in np.split(hashes, at[1:])]
+        for x in np.split(hashes, at[1:]):
+            x.sort()
+            sets.append(x[np.append(True, x[1:] != x[:-1])])
     size = np.array([len(x) for x in sets])
     order = np.argsort(size, kind="stable")
     root = root or list(range(len(lines)))
@@ -204,30 +210,30 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, places, keys, first = [], [], [], [], {}
+            ids, rows, places, numbers, first = [], [], [], [], {}
             for doc, row, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 for pos, line in enumerate(whole.split("\n")):
                     if line := line.strip(SPACE):
                         ids.append(doc)
                         rows.append(row)
                         places.append(pos)
-                        first.setdefault(line, len(keys))
-                        keys.append(line)
-            number = {x: line_key(x) for x in first}
-            bands: list = [None] * len(keys)
-            distinct = list(first)
-            start = 0
+                        numbers.append(first.setdefault(line, len(first)))
+            distinct, bands, start = list(first), [np.zeros((0, BANDS), np.int64)], 0
             while start < len(distinct):
                 size, stop = 0, start
                 while stop < len(distinct) and (stop == start or size < CHARS):
                     size += len(distinct[stop])
                     stop += 1
-                for x, row in zip(distinct[start:stop], band_keys(distinct[start:stop])):
-                    bands[first[x]] = row
+                bands.append(band_keys(distinct[start:stop]))
                 start = stop
+            number = np.array(numbers, np.int64)
+            # numbers were given in the order of first places
+            fresh = np.diff(np.maximum.accumulate(number), prepend=-1) > 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()),
-                 pa.array([number[x] for x in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                 pa.array(np.array([line_key(x) for x in distinct], np.int64)[number]),
+                 pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fresh * BANDS)), pa.int32()), pa.array(np.concatenate(bands).ravel()),
+                                          mask=pa.array(~fresh))],
                 ["doc_id", "row", "pos", "line", "bands"])
 
     return keyed(docs, key, text).mapInArrow(run, "doc_id long, row long, pos int, line long, bands array<long>")
