@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import SF0001
@@ -75,9 +76,9 @@ def test_text_files_are_written_by_tasks(spark, tmp_path):
     docs.select(F.coalesce("text", F.lit("")).alias("value"), "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(other)
     got, want = [{r.doc_id: sorted(r.text.split("\n")) for r in read_text_files(spark, p, key_type="string").collect()} for p in (path, other)]
     assert got == want and len(got) == len(texts)
-    assert {f.name for f in (tmp_path / "texts").iterdir()} == {f.name for f in (tmp_path / "spark").iterdir() if f.is_dir()}
-    assert not list((tmp_path / "texts").rglob("*.crc")) and len(list((tmp_path / "texts").rglob("*.txt"))) == len(texts)
-    with pytest.raises(FileExistsError):
+    assert {f.name for f in (tmp_path / "texts").iterdir()} == {f.name for f in (tmp_path / "spark").iterdir()}
+    assert not list((tmp_path / "texts").rglob("*.txt.crc")) and len(list((tmp_path / "texts").rglob("*.txt"))) == len(texts)
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
         write_text_files(docs, path)
     with pytest.raises(Exception, match="lost"):
         write_text_files(docs.withColumn("text", F.raise_error(F.lit("lost"))), str(tmp_path / "none"))
