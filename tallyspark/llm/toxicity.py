@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tallyspark.llm.common import arrow_batches, process_cache, shuffle_partitions, written
 
@@ -295,7 +296,10 @@ def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def dealt(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``labelled`` in a mixed order, dealt by a hash of the keys; texts are shuffled once, before the join."""
+    """``labelled`` in a mixed order, dealt by a hash of the keys; texts are shuffled once, before the join.
+
+    Who reads it more than once keeps it on the executors' disks meanwhile (``learn``).
+    """
     docs = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")
     return labelled(docs, marks).select("doc_id", "text", "toxic").sortWithinPartitions(in_order(F.col("doc_id")), "doc_id", "text")
 
@@ -404,9 +408,19 @@ def calibrate(rows: DataFrame, model: Model) -> None:
 
 def learn(docs: DataFrame, marks: DataFrame, settings: Settings) -> Model:
     """The weights: counts and a pass over every labelled row, from the start that a bounded sample gives."""
+    arrow_batches(docs.sparkSession)
+    # texts meet their labels once: what is counted stays on disk for the pass
+    rows = dealt(docs, marks).persist(StorageLevel.DISK_ONLY)
+    try:
+        return learn_dealt(rows, docs, marks, settings)
+    finally:
+        rows.unpersist(blocking=True)
+
+
+def learn_dealt(rows: DataFrame, docs: DataFrame, marks: DataFrame, settings: Settings) -> Model:
+    """``learn`` from ``rows``, which are ``dealt(docs, marks)``."""
     spark, s = docs.sparkSession, settings
-    arrow_batches(spark)
-    model, rows = Model(s), labelled(docs, marks)
+    model = Model(s)
     model.counts = class_counts(rows, model)
     texts = model.counts[1]
     if not texts.all():
@@ -427,7 +441,7 @@ def learn(docs: DataFrame, marks: DataFrame, settings: Settings) -> Model:
         model.train([text[i] for i, _ in train], np.array([t for _, t in train], np.float64))
     else:
         model.start_from_odds(*model.counts)
-    teach(dealt(docs, marks), model)
+    teach(rows, model)
     return model
 
 

@@ -49,3 +49,20 @@ def test_scores_of_one_pass_equal_those_of_the_model(spark):
     assert len(got) == 121 and out.count() == 121
     apart = np.abs(np.array([s for _, s in got.values()]) - model.scores([t or "" for t, _ in got.values()]))
     assert apart.max() < 1e-5
+
+
+def test_texts_meet_their_labels_once(spark, monkeypatch):
+    rows = [(i, f"bad{i % 5} thing" if i % 3 == 0 else f"good{i} thing", "en", int(i % 3 == 0)) for i in range(120)]
+    docs, marks = tables(spark, rows)
+    joins, joined = [], toxicity.labelled
+
+    def counted(*args):
+        joins.append(args)
+        return joined(*args)
+
+    monkeypatch.setattr(toxicity, "labelled", counted)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model = toxicity.learn(docs, toxicity.marks_of(marks, None), toxicity.Settings(steps=20))
+    assert model.constant is None and model.counts[1].tolist() == [80, 40]
+    assert len(joins) == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
