@@ -6,7 +6,7 @@
 * ``written`` cuts lineage with a Parquet table in the shared checkpoint
   folder, which survives the loss of executors.
 * ``components`` is a distributed union-find on an edge table.
-* ``process_cache`` keeps models and vocabularies between tasks of one worker.
+* ``process_cache`` keeps one operator's models and vocabularies between tasks of one worker.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +41,20 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def process_cache() -> dict:
-    """A dictionary that lives as long as the Python worker process."""
+def process_cache(owner: str) -> dict:
+    """A dictionary that lives until the Python worker process serves another ``owner``.
+
+    Spark hands a worker from one job to the next; what an operator kept in it would
+    otherwise stay beside all that later ones load.
+    """
     name = "_tallyspark_worker_cache"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-    return sys.modules[name].__dict__
+    module = sys.modules[name]
+    if getattr(module, "owner", None) != owner:
+        module.owner, module.kept = owner, {}
+        pa.default_memory_pool().release_unused()
+    return module.kept
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

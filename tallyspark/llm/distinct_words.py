@@ -100,7 +100,7 @@ class TokenBytes:
 
 def kept(kind: type, *args):
     """This worker's object of a kind, made once."""
-    cache, key = process_cache(), (kind.__name__, *args)
+    cache, key = process_cache("words"), (kind.__name__, *args)
     if key not in cache:
         cache[key] = kind(*args)
     return cache[key]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import NULL_KEY, arrow_batches, components, local_roots, written
+from tallyspark.llm.common import NULL_KEY, arrow_batches, components, local_roots, process_cache, written
 
 SHINGLE, SIMILARITY = 7, 0.8
 #: A pair at the threshold shares a band with probability 0.99, one of similarity 0.9 with 0.99999.
@@ -209,6 +209,7 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("lines")  # nothing is kept, nor what the worker kept before
         for batch in batches:
             ids, rows, places, numbers, first = [], [], [], [], {}
             for doc, row, whole in zip(*(c.to_pylist() for c in batch.columns)):

@@ -48,7 +48,7 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def sentence_ends(path: str) -> np.ndarray:
     """For each id, whether its token closes a sentence or holds a line feed."""
-    cache, key = process_cache(), ("sentence_ends", path)
+    cache, key = process_cache("units"), ("sentence_ends", path)
     if key not in cache:
         vocabulary = encoder(path).whole.get_vocab()
         out = np.zeros(max(vocabulary.values(), default=0) + 1, bool)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_batches, written
+from tallyspark.llm.common import arrow_batches, process_cache, written
 
 #: Share of good documents that one rule may reject, probability that any promise fails, good documents a rejected bad one outweighs.
 ALPHA, DELTA, PRICE = 0.01, 0.05, 0.5
@@ -107,6 +107,7 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
 
     @F.arrow_udf(FEATURES)
     def run(texts: pa.Array) -> pa.Array:
+        process_cache("quality")  # nothing is kept, nor what the worker kept before
         rows = [features(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else
                                           [pa.array([], k) for k in kinds], names)

@@ -271,7 +271,7 @@ class Backend:
 
 
 def backend(path: str) -> Backend:
-    cache, key = process_cache(), ("sentencepiece", path)
+    cache, key = process_cache("sentencepiece"), ("sentencepiece", path)
     if key not in cache:
         cache[key] = Backend(path)
     return cache[key]

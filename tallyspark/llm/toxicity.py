@@ -478,7 +478,7 @@ def with_raw(docs: DataFrame, model: Model, column: str = "z", text: str = "text
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        cache = process_cache()
+        cache = process_cache("toxicity")
         model = shared.value
         book = cache.setdefault(("toxicity", model.s), Words(model.s))
         texts = [t or "" for t in texts.to_pylist()]

@@ -246,7 +246,7 @@ class UnitEncoder:
 
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for this file, loaded once per process."""
-    cache, key = process_cache(), ("units", path)
+    cache, key = process_cache("units"), ("units", path)
     if key not in cache:
         cache[key] = UnitEncoder(path)
     return cache[key]
