@@ -41,6 +41,8 @@ WINDOW, END_ID = 2048, 1
 SENTENCE_COST, FREE_COST, SEQUENCE_COST = 4, 24, 32
 #: Places for cuts elsewhere stand so many tokens apart; a chunk has at least so many tokens.
 FREE_STEP, CHUNK = 32, 1 << 18
+#: Units of a full table: fewer than elsewhere, as other stages' memory may stand beside it.
+PACK_UNITS = 250_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, sequence_length long")
@@ -139,7 +141,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, closes = encoder(path), sentence_ends(path)
+        closes, coder = sentence_ends(path), encoder(path, PACK_UNITS)
         block, number = None, 0
         keys, counts, parts, held = [], [], [], 0
 

@@ -227,6 +227,7 @@ class UnitEncoder:
             counts.append(n)
             ids.append(flat)
             start = stop
+        pa.default_memory_pool().release_unused()  # what cutting took would stay beside the tables of every worker
         n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         return n, (np.concatenate(ids) if ids else np.zeros(0, "<u4")) if want_ids else None
 
@@ -244,9 +245,10 @@ class UnitEncoder:
         return np.diff(ends[first]), gather(begin[index], each, ids) if want_ids else None
 
 
-def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder for this file, loaded once per process."""
+def encoder(path: str, most: int | None = None) -> UnitEncoder:
+    """The worker's encoder for this file, loaded once per process; ``most``: units of a full table."""
     cache, key = process_cache("units"), ("units", path)
     if key not in cache:
         cache[key] = UnitEncoder(path)
+    cache[key].most = most or UnitEncoder.most
     return cache[key]
