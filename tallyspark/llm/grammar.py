@@ -73,24 +73,26 @@ def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, leas
         joined[1:] = after[place[:-1]] == place[1:]
         if kind is not None:
             joined[1:] &= kind[1:] == kind[:-1]
-        if not joined.any():
-            return ~joined
-        nth = np.arange(len(place))
-        return (nth - np.maximum.accumulate(np.where(joined, 0, nth))) % 2 == 0
-
-    def frequent(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Kinds of pair seen ``least`` times at ``spots``, the places of these and their kinds' numbers."""
-        found = pairs(spots)
+        out, later = ~joined, np.flatnonzero(joined)
+        # the first, third ... of the places that follow one another go, as the one before them stays
+        nth = np.arange(len(later))
+        head = np.diff(later, prepend=-2) != 1
+        out[later[(nth - np.maximum.accumulate(np.where(head, nth, 0))) & 1 == 1]] = True
+        return out
+
+    def frequent(spots: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds of pair seen ``least`` times among ``found`` at ``spots``, the places of these and their kinds' numbers."""
         order = np.sort(found)
         # in ascending order, a pair seen ``least`` times equals the one ``least - 1`` places on
         reach = max(0, len(order) - least + 1)
-        kinds = np.unique(order[:reach][order[:reach] == order[len(order) - reach:]])
+        kinds = order[:reach][order[:reach] == order[len(order) - reach:]]
+        kinds = kinds[np.flatnonzero(np.concatenate([kinds[:1] == kinds[:1], kinds[1:] != kinds[:-1]]))]
         if not len(kinds):
             return kinds, spots[:0], spots[:0]
         # a table of hashes finds most kinds, and leaves few places to search
         table = np.zeros(1 << 18, np.int32)
-        table[kinds * MIX >> np.uint64(46)] = np.arange(1, len(kinds) + 1)
-        at = table[found * MIX >> np.uint64(46)]
+        table[(kinds * MIX >> np.uint64(46)).view(np.int64)] = np.arange(1, len(kinds) + 1)
+        at = table[(found * MIX >> np.uint64(46)).view(np.int64)]
         few = np.flatnonzero(at)
         at, asked = at[few].astype(np.int64) - 1, found[few]
         missed = np.flatnonzero(kinds[at] != asked)
@@ -98,7 +100,9 @@ def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, leas
         hit = kinds[at] == asked
         return kinds, spots[few[hit]], at[hit]
 
-    kinds, place, at = frequent(np.flatnonzero(~last))
+    # at first every symbol stands beside the next
+    spots = np.flatnonzero(~last)
+    kinds, place, at = frequent(spots, ((symbols[:-1] << np.uint64(32)) | symbols[1:])[~last[:-1]])
     while len(place):
         # a pair's occurrences all arise in one round and only become fewer later
         counts = np.bincount(at[every_other(place, at)], minlength=len(kinds))
@@ -138,22 +142,30 @@ def repair(ids: np.ndarray, last: np.ndarray, per_round: int = ROUND_RULES, leas
         spots = np.flatnonzero(touched & ~last & ~gone)
         keep = ~(touched[place] | gone[place])
         place, at = place[keep], at[keep]
-        fresh, there, which = frequent(spots)
+        fresh, there, which = frequent(spots, pairs(spots))
         held = np.bincount(at, minlength=len(kinds)) > 0
         left, at = np.flatnonzero(held), (np.cumsum(held) - 1)[at]
         place, at = np.concatenate([place, there]), np.concatenate([at, which + len(left)])
         kinds = np.concatenate([kinds[left], fresh])
         order = np.argsort(place, kind="stable")
         place, at = place[order], at[order]
-    return symbols[~gone].astype("<u4"), last[~gone], np.concatenate(sides).astype("<u4"), base
+    stay = np.flatnonzero(~gone)
+    return symbols[stay].astype("<u4"), last[stay], np.concatenate(sides).astype("<u4"), base
 
 
 def expansion_lengths(sides: np.ndarray, base: int) -> np.ndarray:
     """Number of ids of each rule; a rule's sides are ids or earlier rules."""
-    out = [0] * len(sides)
-    for i, (a, b) in enumerate(sides.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return np.array(out, "<u4")
+    # one place more, which stands for any id; 0: not known yet
+    out = np.zeros(len(sides) + 1, np.int64)
+    out[-1] = 1
+    rule = np.where(sides >= base, sides.astype(np.int64) - base, len(sides))
+    open_ = np.arange(len(sides))
+    while len(open_):
+        both = out[rule[open_]]
+        known = both.all(axis=1)
+        out[open_[known]] = both[known].sum(axis=1)
+        open_ = open_[~known]
+    return out[:-1].astype("<u4")
 
 
 def encode_shard(ids: np.ndarray, counts: list[int]) -> bytes:

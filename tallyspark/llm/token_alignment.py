@@ -88,16 +88,14 @@ class PieceEncoder(UnitEncoder):
         self.tokens = token_bytes({i: bytes([int(m[1], 16)]) if self.library.is_byte(i) and (m := BYTE_PIECE.fullmatch(p))
                                    else p.replace(MARKER, " ").encode() for i, (p, _, _) in enumerate(model.pieces)})
 
-    def _learn(self, units: list[str]) -> np.ndarray:
-        first = len(self.table.slots)
-        known, rest = self._recall(units)
+    def _learn(self, units: list[str], slots: np.ndarray) -> None:
+        rest, done = self._recall(units, slots), 0
         for group in byte_groups([units[i] for i in rest.tolist()]):
             found = self.library.encode(group, num_threads=1)
             found = [i if u else [self.space] for u, i in zip(group, found)]
-            self.table.add(group, np.array([len(i) for i in found], np.int64), np.array([x for i in found for x in i], "<u4"))
-        slots = np.empty(len(units), np.int64)
-        slots[np.concatenate([known, rest])] = np.arange(first, first + len(units))
-        return slots
+            self.table.put(slots[rest[done:done + len(group)]], np.array([len(i) for i in found], np.int64),
+                           np.array([x for i in found for x in i], "<u4"))
+            done += len(group)
 
     def _cut(self, texts: pa.Array) -> pa.Array:
         """The stretches between single spaces; an empty text has none, an odd one is one."""

@@ -47,6 +47,7 @@ DIGITS, OTHERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "!-/:-@\\[-`{-~\u00a1-\u0
 PLAIN_UNIT = f"\\A(?:\n| ?[{LETTERS}{DIGITS}{OTHERS}]+)\\z"
 #: A plain unit that is one match of the pattern.
 PLAIN_WORD = f"\\A ?[{LETTERS}]+\\z"
+WORD, MIXED, ODD = range(3)
 #: The byte-level pattern of the tokenizer file (a fixed value of the format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -110,16 +111,26 @@ class Table:
 
     def __init__(self):
         self.slots: dict[str, int] = {}
-        self.begins, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-
-    def add(self, strings: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        """New distinct strings with their ids one after another."""
-        self.slots.update(zip(strings, range(len(self.slots), len(self.slots) + len(strings))))
-        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.begins, self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def find(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of distinct strings, and the places of new ones, whose ids ``put`` must give; one search a string."""
+        first = len(self.begins)
+        at = np.fromiter(map(self.slots.setdefault, strings, range(first, first + len(strings))), np.int64, len(strings))
+        new = np.flatnonzero(at >= first)
+        if len(new):
+            room = np.zeros(int(at[new[-1]]) + 1 - first, np.int32)
+            self.begins, self.sizes = np.concatenate([self.begins, room]), np.concatenate([self.sizes, room])
+        return at, new
+
+    def put(self, slots: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of new strings, one after another."""
+        self.begins[slots] = len(self.ids) + np.cumsum(sizes) - sizes
+        self.sizes[slots] = sizes
+        self.ids = np.concatenate([self.ids, ids])
 
     def full(self, most: int) -> bool:
-        return len(self.slots) > most or len(self.ids) > 16 * most
+        return len(self.slots) > most or len(self.begins) > 4 * most or len(self.ids) > 16 * most
 
 
 def rank_encoder(tokenizer):
@@ -157,6 +168,8 @@ class UnitEncoder:
         self.whole.encode_special_tokens = not specials
         found = [t.content for t in self.whole.get_added_tokens_decoder().values()] if specials else []
         self.special = "|".join(map(re.escape, found))
+        # a word can hold a special string of letters only (after a space, perhaps)
+        self.special_words = any(re.fullmatch(f" ?[{LETTERS}]*", t) for t in found)
         self.ranked = rank_encoder(self.whole)
         self.table, self.old = Table(), Table()
 
@@ -168,52 +181,59 @@ class UnitEncoder:
             ids.append(np.array(list(chain.from_iterable(found)), "<u4"))
         return np.array(sizes, np.int64), np.concatenate(ids)
 
-    def _recall(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Copy what the old table knows of these strings; the places of those it knows, in the order copied, and of the others."""
+    def _recall(self, strings: list[str], slots: np.ndarray) -> np.ndarray:
+        """Copy what the old table knows of new strings; the places of the others."""
         if not self.old.slots:
-            return np.zeros(0, np.int64), np.arange(len(strings))
+            return np.arange(len(strings))
         at = np.fromiter(map(self.old.slots.get, strings, repeat(-1)), np.int64, len(strings))
         known = np.flatnonzero(at >= 0)
-        if len(known):
-            size = self.old.sizes[at[known]]
-            self.table.add([strings[i] for i in known.tolist()], size, gather(self.old.begins[at[known]], size, self.old.ids))
-        return known, np.flatnonzero(at < 0)
-
-    def _learn(self, units: list[str]) -> np.ndarray:
-        """Add new distinct units: plain ones by their ranks, others by the whole tokenizer; their slots."""
-        first = len(self.table.slots)
-        known, rest = self._recall(units)
+        size = self.old.sizes[at[known]].astype(np.int64)
+        self.table.put(slots[known], size, gather(self.old.begins[at[known]], size, self.old.ids))
+        return np.flatnonzero(at < 0)
+
+    def _kinds(self, new: pa.Array) -> np.ndarray:
+        """Whether each unit is a plain word, another plain unit, or neither; only what may be mixed is matched further."""
+        if not self.ranked:
+            return np.full(len(new), ODD)
+        short = pc.less_equal(pc.utf8_length(new), PLAIN_CHARS)
+        word = pc.and_(short, pc.match_substring_regex(new, PLAIN_WORD))
+        if self.special_words:
+            word = pc.and_not(word, pc.match_substring_regex(new, self.special))
+        kind = np.where(word.to_numpy(zero_copy_only=False), WORD, ODD)
+        rest = np.flatnonzero(kind == ODD)
+        others = new.take(pa.array(rest))
+        plain = pc.and_(pc.match_substring_regex(others, PLAIN_UNIT), short.take(pa.array(rest)))
+        if self.special:
+            plain = pc.and_not(plain, pc.match_substring_regex(others, self.special))
+        kind[rest[plain.to_numpy(zero_copy_only=False)]] = MIXED
+        return kind
+
+    def _learn(self, units: list[str], slots: np.ndarray) -> None:
+        """Ids of new distinct units: plain ones by their ranks, others by the whole tokenizer."""
+        rest = self._recall(units, slots)
         new = pa.array(units if len(rest) == len(units) else [units[i] for i in rest.tolist()], pa.large_string())
-        plain = pa.array(np.zeros(len(new), bool))
-        if self.ranked:
-            plain = pc.and_(pc.match_substring_regex(new, PLAIN_UNIT), pc.less_equal(pc.utf8_length(new), PLAIN_CHARS))
-            if self.special:
-                plain = pc.and_not(plain, pc.match_substring_regex(new, self.special))
-        word = pc.and_(plain, pc.match_substring_regex(new, PLAIN_WORD))
-        mixed, odd = pc.and_not(plain, word), pc.invert(plain)
-        if pc.any(plain).as_py():
-            some, others = new.filter(word), new.filter(mixed)
-            found = list(map(self.ranked.encode_single_piece, objects(some.cast(pa.large_binary()))))
-            found += map(self.ranked.encode_ordinary, objects(others))
-            self.table.add(objects(pa.concat_arrays([some, others])), np.fromiter(map(len, found), np.int64, len(found)),
+        kind = self._kinds(new)
+        word, mixed, odd = (np.flatnonzero(kind == x) for x in (WORD, MIXED, ODD))
+        if len(word) or len(mixed):
+            found = list(map(self.ranked.encode_single_piece, objects(new.take(pa.array(word)).cast(pa.large_binary()))))
+            found += map(self.ranked.encode_ordinary, objects(new.take(pa.array(mixed))))
+            self.table.put(slots[rest[np.concatenate([word, mixed])]], np.fromiter(map(len, found), np.int64, len(found)),
                            np.array(list(chain.from_iterable(found)), "<u4"))
-        other = objects(new.filter(odd))
-        if other:
-            self.table.add(other, *self._ask(byte_groups(other)))
-        added = np.concatenate([known, *[rest[x.to_numpy(zero_copy_only=False)] for x in (word, mixed, odd)]])
-        slots = np.empty(len(units), np.int64)
-        slots[added] = np.arange(first, first + len(units))
-        return slots
+        if len(odd):
+            self.table.put(slots[rest[odd]], *self._ask(byte_groups([units[i] for i in rest[odd].tolist()])))
 
     def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and number of the ids of each of some distinct units, and the ids they point into."""
         if self.table.full(self.most):
             self.old, self.table = self.table, Table()
-        at = np.fromiter(map(self.table.slots.get, units, repeat(-1)), np.int64, len(units))
-        missing = np.flatnonzero(at < 0)
+        at, missing = self.table.find(units)
         if len(missing):
-            at[missing] = self._learn([units[i] for i in missing.tolist()])
-        return self.table.begins[at], self.table.sizes[at], self.table.ids
+            try:
+                self._learn([units[i] for i in missing.tolist()], at[missing])
+            except BaseException:
+                self.table = Table()  # holds slots without ids
+                raise
+        return self.table.begins[at], self.table.sizes[at].astype(np.int64), self.table.ids
 
     def encode(self, texts: pa.Array, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Token counts of the texts (nulls: empty), and all ids one after another."""
