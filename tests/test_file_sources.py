@@ -111,3 +111,26 @@ def test_transcripts_keep_every_turn(spark):
     for chunked in (True, False):
         lines = {r.conv_id: (r.n_turns, r.transcript) for r in transcripts.replay(got, chunked=chunked).collect()}
         assert lines == {1: (2, "user: a\n: c"), None: (3, "user: b\nuser: first\nuser: "), 2: (1, ": ")}
+
+
+def test_text_files_are_listed_in_tasks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keys = ["1", "2", "a=b", "c%d/e", None]
+    write_text_files(spark.createDataFrame([(k, f"text {k}\n") for k in keys], "doc_id string, text string"), path)
+    for name, data in (("_note.txt", b"x\n"), (".note.txt", b"x\n"), ("empty.txt", b""), ("more.json", b"{}"), ("more.txt", b"x\r\n\n")):
+        (tmp_path / "t" / "doc_id=1" / name).write_bytes(data)
+    (tmp_path / "t" / "doc_id=2" / "lang=en").mkdir()
+    (tmp_path / "t" / "doc_id=2" / "lang=en" / "deep.txt").write_text("deep\n")
+    (tmp_path / "t" / "_temporary").mkdir()
+    (tmp_path / "t" / "_temporary" / "lost.txt").write_text("lost\n")
+    df = read_text_files(spark, path, key_type="string")
+    # Spark's reader would list every file in the driver
+    assert df.inputFiles() == []
+    assert df.columns == ["doc_id", "text", "file"]
+    got = sorted(((r.doc_id, bytes(r.raw), r.file[:4]) for r in df.select("*", F.col("text").cast("binary").alias("raw")).collect()), key=str)
+    assert got == sorted([*((k, f"text {k}\n".encode(), "part") for k in keys), ("1", b"x\r\n", "more"), ("2", b"deep", "deep")], key=str)
+    with pytest.raises(AnalysisException):
+        read_text_files(spark, str(tmp_path / "none"))
+    (tmp_path / "t" / "stray.txt").write_text("stray\n")
+    with pytest.raises(Exception, match="stray.txt is in no folder"):
+        read_text_files(spark, path, key_type="string").collect()
