@@ -1,0 +1,108 @@
+"""Search by vectors rounded to bytes, and the memory of its blocks."""
+
+import glob
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyspark.operators import integers, neighbours, retrieval
+from tallyspark.session import checkpoint_dir
+
+VECTORS = "doc_id long, embedding array<float>"
+
+
+def multiply(a, zero, b, scale):
+    """What onnxruntime does, for machines without it."""
+    return ((a.astype(np.int64) - zero) @ b.astype(np.int64)).astype(np.float32) * scale
+
+
+def test_products_of_bytes_are_right():
+    found = integers.multiplier()
+    assert integers.is_right(multiply, 255)
+    assert not integers.is_right(lambda *x: np.minimum(multiply(*x), 1e5), 127)
+    if found:  # on an axis that no processor's lanes divide
+        rng = np.random.default_rng(0)
+        a, b = rng.integers(0, found[1] + 1, (37, 101)).astype(np.uint8), rng.integers(-127, 128, (101, 53)).astype(np.int8)
+        scale = rng.random(53).astype(np.float32)
+        assert np.allclose(found[0](a, 3, b, scale), multiply(a, 3, b, scale), rtol=1e-6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 5), st.sampled_from(["l2", "cosine"]), st.sampled_from(["plain", "signed", "ties", "lengths", "close", "large"]),
+       st.sampled_from([127, 255]), st.booleans(), st.sampled_from([0, 40]))
+def test_bytes_find_what_single_precision_finds(seed, k, metric, kind, largest, itself, lead):
+    rng = np.random.default_rng(seed)
+    m = rng.random((400, 24)) * (rng.random((400, 24)) < 0.4) + 1e-3
+    if kind == "signed":
+        m = rng.normal(size=m.shape)
+    elif kind == "ties":
+        m = rng.integers(0, 2, m.shape).astype(float)
+        m[::7] = 0
+    elif kind == "lengths":
+        m *= np.exp(rng.normal(size=(400, 1)) * 3)
+    elif kind == "close":
+        m = 3 + m * 1e-5
+    elif kind == "large":
+        m *= 1e12
+    m = m.astype(np.float32)
+    Q, first, rest = m[:60], m[:150], m[150:]
+    own = rng.integers(-1, 30, 400) if itself else None
+    side = (own[:60], own[:150], own[150:]) if itself else (None, None, None)
+    best = np.full((60, k), np.inf)
+    neighbours.top_of_pair(Q, first, k, metric, 9, side[0], side[1], best)
+    if not np.isfinite(best).all():
+        return
+    asked, corpus = neighbours.ByteQuestions(Q, metric, largest), neighbours.ByteCorpus(rest, metric)
+    assert asked.sound and corpus.sound
+    some, other = np.arange(0, 60, 2), best[::2].copy()
+    want = neighbours.top_of_pair(Q[some], rest[lead:], k, metric, 9, side[0][some] if itself else None, side[2][lead:] if itself else None, other)
+    mine = best[some]
+    got = neighbours.top_by_bytes(asked, Q, some, corpus, rest, k, metric, 9, side[0][some] if itself else None, side[2], mine, multiply, lead)
+    assert (mine == other).all()
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(want[0].tolist(), (want[1] + lead).tolist(), want[2].tolist()))
+
+
+def test_lengths_that_bytes_cannot_hold():
+    huge = np.full((3, 4), 1e30, np.float32)
+    assert not neighbours.ByteCorpus(huge, "l2").sound and not neighbours.ByteQuestions(huge, "l2", 127).sound
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_search_of_wide_vectors_on_small_blocks(spark, monkeypatch, metric):
+    """Many blocks in a task: question vectors come once, with a pair that may hold nothing."""
+    dim, rng = 128, np.random.default_rng(3)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 40 * 4 * dim)
+    monkeypatch.setattr(neighbours, "ASKED_BYTES", 70 * 4 * dim)
+    monkeypatch.setattr(neighbours, "HELD_BYTES", 200 * 4 * dim)
+    m = np.concatenate([c * 30 + rng.random((150, dim)) for c in rng.normal(size=(3, dim))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], VECTORS).coalesce(2)
+    got = neighbours.knn(df.withColumnRenamed("doc_id", "q_id"), df, 3, metric, dim=dim).collect()
+    rows, cols = np.divmod(np.arange(450 * 450), 450)
+    every = (np.round(neighbours.exactly(m, m, rows, cols, metric), 9) + 0.0).reshape(450, 450)
+    want = [(i, r + 1, int(j)) for i in range(450) for r, j in enumerate(np.lexsort((np.arange(450), every[i]))[:3])]
+    assert sorted((r.q_id, r["rank"], r.doc_id) for r in got) == want
+
+
+def test_blocks_are_written_and_read_one_at_a_time(spark):
+    """A Parquet writer would gather 100 rows, whole blocks here, and a reader take them at once."""
+    dim = 64
+    df = spark.range(0, 80_000, 1, 1).selectExpr("id doc_id", f"transform(sequence(1, {dim}), x -> cast(hash(id, x) % 1000 as float)) embedding")
+    neighbours.vector_blocks(df, ["doc_id"], "embedding", dim, "l2")
+    folder = max(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/vectors-*"), key=lambda x: __import__("os").path.getmtime(x))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(folder + "/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 3
+    assert all(g.num_rows == 1 for g in groups)
+    blocks = spark.read.parquet(folder)
+    assert all(r.n * 4 * dim <= neighbours.BLOCK_BYTES for r in blocks.select("n").collect())
+
+
+def test_texts_are_embedded_by_the_workers_that_block_them(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "..."), (4, "one")], "doc_id long, text string")
+    blocks = retrieval.text_blocks(docs, ["doc_id"], "text", 384, "l2")
+    assert blocks.agg({"n": "sum"}).first()[0] == 2
+    plan = retrieval.retrieve_context(docs.selectExpr("doc_id conv_id", "1 turn", "text"), docs)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
